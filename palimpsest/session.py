@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,20 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, unless PYTHONPATH already does."""
+    root = str(Path(__file__).resolve().parent.parent)
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_palimpsest_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="palimpsest-code-")) / "palimpsest.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((Path(root) / "palimpsest").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._palimpsest_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
