@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("p3_cutoff", "p4_split", "p8_encode", "p9_pack")
+_MODULES = ("p1_nearcopies", "p3_cutoff", "p4_split", "p7_leaks", "p8_encode", "p9_pack", "p10_mojibake")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
