@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("p1_nearcopies", "p3_cutoff", "p4_split", "p6_pairs", "p7_leaks", "p8_encode", "p9_pack", "p10_mojibake")
+_MODULES = ("p1_nearcopies", "p2_quality", "p3_cutoff", "p4_split", "p5_scans", "p6_pairs", "p7_leaks", "p8_encode", "p9_pack", "p10_mojibake")
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _m in _MODULES:
