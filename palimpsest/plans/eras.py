@@ -41,10 +41,10 @@ def term_hits(spark, documents):
     return E.term_hits(documents, "doc_id", E.term_list(spark, list(_LIST)))
 
 
-@query("documents", sql=f"""with {_RATIO} select word, o::bigint as old_cnt, round(lr, 4) as lr from r""")
+@query("documents", sql=f"""with {_RATIO} select word, o::bigint as old_cnt, round(lr, 4) + 0.0 as lr from r""")
 def nb_log_ratio(spark, documents):
     r = E.log_ratios(E.word_frequencies(documents.filter(_OLD)), E.word_frequencies(documents.filter(_NEW)))
-    return r.select("word", F.col("old_cnt").cast("long"), F.round("lr", 4).alias("lr"))
+    return r.select("word", F.col("old_cnt").cast("long"), (F.round("lr", 4) + 0.0).alias("lr"))
 
 
 @query("documents", sql=f"""with {_RATIO}, w as (select doc_id, word, count(*) as n from (select doc_id, {_WORDS} from documents) group by 1, 2),
