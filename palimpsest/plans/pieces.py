@@ -82,7 +82,7 @@ def hash_split(spark, documents):
     return documents.groupBy(p).agg(F.count(F.lit(1)).alias("docs"))
 
 
-_EV = "(select event_id, user_id, event_type, epoch_ms(ts) // 1000 as s from events)"
+_EV = "(select event_id, user_id, event_type, epoch_us(ts) // 1000000 as s from events)"
 
 
 @query("events", sql=f"""with l as (select *, lag(event_type) over w as pt, lag(s) over w as ps from {_EV} window w as (partition by user_id order by s, event_id)),
@@ -97,7 +97,7 @@ def coalesce_turns(spark, events):
     return out.select("user_id", "island", "event_type", F.expr("p div 100000000").alias("s"), "n", "ids")
 
 
-@query("events", sql="""with s as (select event_id, user_id, epoch_ms(ts) // 1000 as a, epoch_ms(ts) // 1000 + (value * 1000)::bigint % 100000 as b from events where value is not null),
+@query("events", sql="""with s as (select event_id, user_id, epoch_us(ts) // 1000000 as a, epoch_us(ts) // 1000000 + (value * 1000)::bigint % 100000 as b from events where value is not null),
   m as (select *, max(b) over (partition by user_id order by a, b, event_id rows between unbounded preceding and 1 preceding) as f from s),
   i as (select *, sum(case when f is null or a > f + 1 then 1 else 0 end) over (partition by user_id order by a, b, event_id rows unbounded preceding) as island from m)
   select user_id, island::bigint as island, count(*) as n, min(a)::bigint as a, max(b)::bigint as b from i group by 1, 2""")
@@ -108,7 +108,7 @@ def overlap_islands(spark, events):
     return out.groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("b").alias("b"))
 
 
-@query("events", sql="""with s as (select event_id, user_id, epoch_ms(ts) // 1000 as a, epoch_ms(ts) // 1000 + 7200 as b, event_type from events)
+@query("events", sql="""with s as (select event_id, user_id, epoch_us(ts) // 1000000 as a, epoch_us(ts) // 1000000 + 7200 as b, event_type from events)
   select l.event_id, r.event_id as r_event_id from s l join s r on l.user_id = r.user_id and l.a < r.b and r.a < l.b and l.event_type = 'purchase' and r.event_type = 'click'""")
 def interval_join(spark, events):
     a = F.unix_timestamp("ts")
