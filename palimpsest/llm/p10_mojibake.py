@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 
 #: Code pages that UTF-8 is wrongly read in.
 UTF8_READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-15", "cp1254")
@@ -236,7 +236,7 @@ def repair_column(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def p10_repaired(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, kinds, spans, restorable, restored of every garbled document."""
-    return repair_column(table(spark, folder, "documents"), "doc_id")
+    return repair_column(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from ..tables import table
+from ..tables import spread, table
 from .words import mix, shingle_hashes, small_batches, word_hashes, words
 
 #: Fixed by the problem: word triples, similarity, least number of words.
@@ -91,8 +91,15 @@ def _signatures(shingles: np.ndarray, n: np.ndarray, bands: int, rows: int) -> t
         values[:, k // rows] = mix(values[:, k // rows] * np.uint64(31) + low)
     sim = np.zeros((len(n), 2), np.uint64)
     for k, h in enumerate((shingles, mix(shingles))):
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        ones = np.zeros((len(n), 64), np.int64)
+        # some 30 MB of bits at a time, however long a text is
+        for low in range(0, len(h), 500_000):
+            part = h[low : low + 500_000]
+            first = np.searchsorted(starts, low, "right") - 1
+            last = np.searchsorted(starts, low + len(part) - 1, "right") - 1
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            at = np.maximum(starts[first : last + 1] - low, 0)
+            ones[first : last + 1] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
         sim[:, k] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return values, sim
 
@@ -313,18 +320,18 @@ def near_copies(
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """a, b, similarity: pairs of class representatives of at least 0.6."""
-    return near_copies(table(spark, folder, "docvalue"), "rec_id")[0]
+    return near_copies(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id")[0]
 
 
 def p1_members(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id, class_id: one row for each record of at least 20 words; copies share a class."""
-    members = near_copies(table(spark, folder, "docvalue"), "rec_id")[1]
+    members = near_copies(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id")[1]
     return members.select(F.col("id").alias("rec_id"), F.col("rep").alias("class_id"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id_a < rec_id_b of every pair of records, copies included."""
-    pairs, members = near_copies(table(spark, folder, "docvalue"), "rec_id")
+    pairs, members = near_copies(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id")
     left = members.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     right = members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     other = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from .words import mix, small_batches, word_hashes, words
 
 WIDTH = 8
@@ -191,12 +191,12 @@ def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least:
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id, item_id, similarity of every text with a window like an item's (0.8 or more)."""
-    return leaks(table(spark, folder, "docvalue"), "rec_id", table(spark, folder, "copa"), "item_id", least=0.8)
+    return leaks(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id", table(spark, folder, "copa"), "item_id", least=0.8)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id, item_id: the text has eight words in a row of the item's query."""
-    out = leaks(table(spark, folder, "docvalue"), "rec_id", table(spark, folder, "copa"), "item_id")
+    out = leaks(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id", table(spark, folder, "copa"), "item_id")
     return out.select("rec_id", "item_id")
 
 

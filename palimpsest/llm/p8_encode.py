@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 
 VOCAB_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens a worker remembers; the cache is emptied beyond that.
@@ -285,7 +285,7 @@ def token_counts(df: DataFrame, key: str, text: str = "text", vocab_path: str =
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, ids of every document by byte_bpe_50k."""
-    return encode_column(table(spark, folder, "documents"), "doc_id")
+    return encode_column(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id")
 
 
 QUERIES = {"p8_ids": p8_ids}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import staged
-from ..tables import table
+from ..tables import spread, table
 from .p8_encode import VOCAB_PATH, token_counts
 
 CAPACITY = 2048
@@ -115,7 +115,7 @@ def pack(
 
 def document_sizes(spark: SparkSession, folder: str, vocab_path: str = VOCAB_PATH) -> DataFrame:
     """(doc_id, n_tokens) of all documents, counted once and staged."""
-    return staged(token_counts(table(spark, folder, "documents"), "doc_id", vocab_path=vocab_path), "token-counts")
+    return staged(token_counts(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", vocab_path=vocab_path), "token-counts")
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
