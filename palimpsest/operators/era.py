@@ -6,6 +6,7 @@ from files. Texts are exploded to distinct tokens or n-grams before any join.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,44 +43,55 @@ def term_list(spark, banned: list[str], allowed: list[str] = ()) -> DataFrame:
     return b.join(a, "term", "left_anti").withColumn("n", F.size(F.split("term", " ")))
 
 
-def forms(w: Column) -> Column:
-    """A word and what it may be the plural, possessive or past of."""
-    quote = w.contains("'")
-    return F.filter(
-        F.array(
-            w,
-            F.when(quote, F.substring_index(w, "'", 1)),
-            F.when(~quote & (F.length(w) > 2) & w.rlike("(es|ed)$"), F.regexp_replace(w, "(es|ed)$", "")),
-            F.when(~quote & (F.length(w) > 2) & w.endswith("s"), F.regexp_replace(w, "s$", "")),
-        ),
-        lambda x: x.isNotNull() & (x != ""),
-    )
+#: Terms that are looked up in memory; longer lists are joined.
+TERM_LIMIT = 5000
+
+
+def variants(term: str) -> list[str]:
+    """A term and its endings -es, -ed and -s."""
+    return [term, term + "es", term + "ed", term + "s"]
 
 
-def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text", longest: int = 3) -> DataFrame:
-    """(key, term): terms of words that occur in each text, also in the forms of their last word.
+def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
+    """(key, term): terms of words that occur in each text, also with an ending of their last word.
 
-    Words and n-grams are made distinct per text, then joined to the terms; terms with other
-    signs than a-z, apostrophe and blank are found by one pattern each.
+    N-grams are looked up in the set of all variants within the row, so that only hits leave
+    it; lists above TERM_LIMIT terms are joined to the exploded n-grams instead. What follows
+    an apostrophe in the last word is ignored. Terms with other signs than a-z, apostrophe
+    and blank are found by one pattern each.
     """
-    plain = F.col("term").rlike("^[a-z' ]+$")
+    spark = docs.sparkSession
+    rows = [(r.term, r.n) for r in terms.select("term", "n").limit(TERM_LIMIT + 1).collect()]
+    plain = [(t, n) for t, n in rows if re.fullmatch("[a-z' ]+", t) and n <= longest]
     toks = docs.select(key, T.word_tokens(F.col(text)).alias("w"))
 
     def ngrams(n: int) -> Column:
         at = F.sequence(F.lit(1), F.size("w") - (n - 1))
         return F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))
 
+    none = spark.createDataFrame([], f"g string, {key} {docs.schema[key].dataType.simpleString()}")
     grams = []
+    joined = len(rows) > TERM_LIMIT
     for n in range(1, longest + 1):
-        gram = F.col("w") if n == 1 else ngrams(n)
-        grams.append(toks.filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(gram)).alias("g")))
-    g = reduce(DataFrame.unionByName, grams)
-    last = F.element_at(F.split("g", " "), -1)
-    head = F.expr("substring(g, 1, length(g) - length(element_at(split(g, ' '), -1)))")
-    full = g.select(key, F.explode(F.transform(forms(last), lambda f: F.concat(head, f))).alias("term"))
-    hits = full.join(terms.filter(plain).select("term"), "term").select(key, "term")
-    special = [r.term for r in terms.filter(~plain).select("term").collect()]
-    for s in special:
+        known = sorted({v for t, k in plain if k == n for v in variants(t)} | {t + "'" for t, k in plain if k == n})
+        if not known and not joined:
+            continue
+        g = F.col("w") if n == 1 else ngrams(n)
+        # an apostrophe cuts the last word; the mark stays, for no ending may come before it
+        g = F.transform(g, lambda x: F.regexp_replace(x, "'[^ ]*$", "'"))
+        if not joined:
+            g = F.filter(g, lambda x: x.isin(*known))
+        grams.append(toks.filter(F.size("w") >= n).select(F.explode(F.array_distinct(g)).alias("g"), key))
+    g = reduce(DataFrame.unionByName, grams) if grams else none
+    if joined:
+        t = terms.filter(F.col("term").rlike("^[a-z' ]+$"))
+        ends = F.array(*[F.concat("term", F.lit(e)) for e in ("", "es", "ed", "s", "'")])
+        lookup = t.select("term", F.explode(ends).alias("g"))
+    else:
+        pairs = [(t, v) for t, _ in plain for v in [*variants(t), t + "'"]]
+        lookup = spark.createDataFrame(pairs, "term string, g string")
+    hits = g.join(lookup, "g").select(key, "term")
+    for s in (t for t, _ in rows if not re.fullmatch("[a-z' ]+", t)):
         pattern = r"(?i)(?<!\w)\Q" + s + r"\E(?!\w)"
         hits = hits.unionByName(docs.filter(F.col(text).rlike(pattern)).select(key, F.lit(s).alias("term")))
     return hits.distinct()
