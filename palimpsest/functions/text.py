@@ -34,9 +34,10 @@ def normalized_unicode(text: Column) -> Column:
 
 
 def content_id(text: Column, mode: str = "ascii") -> Column:
-    """Hex SHA-512/256 of the normalized text. mode 'ascii' or 'unicode'."""
+    """Hex SHA-512/256 of the normalized text, null for null. mode 'ascii' or 'unicode'."""
     n = normalized(text) if mode == "ascii" else normalized_unicode(text)
-    return F.reflect(F.lit("org.apache.commons.codec.digest.DigestUtils"), F.lit("sha512_256Hex"), n)
+    sha = F.reflect(F.lit("org.apache.commons.codec.digest.DigestUtils"), F.lit("sha512_256Hex"), n)
+    return F.when(n.isNotNull(), sha)
 
 
 def store_tokens(text: Column) -> Column:

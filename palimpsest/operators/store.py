@@ -217,7 +217,7 @@ def expression(text: str) -> Column:
         sql = re.sub(rf"(\w+)\.{js}\(", rf"{fn}(\1, ", sql)
     sql = re.sub(r"(\w+)\.toLowerCase\(\)", r"lower(\1)", sql)
     while "??" in sql:
-        sql = re.sub(r"([\w.()]+)\s*\?\?\s*([\w.'()-]+)", r"coalesce(\1, \2)", sql, count=1)
+        sql = re.sub(r"(\w+)\s*\?\?\s*('[^']*'|[\w.-]+)", r"coalesce(\1, \2)", sql, count=1)
     return F.expr(sql)
 
 

@@ -26,12 +26,12 @@ def count_match_pct(spark, docvalue):
     return S.matching(docvalue, M.global_score() > 80)
 
 
-@query("docvalue", sql=" union all ".join(f"""select '{m}' as metric, round(avg({_metric(m)}), 3) as mean, round(min({_metric(m)})::double, 3) as min,
-  round(quantile_cont({_metric(m)}::double, 0.05), 3) as p5, round(quantile_cont({_metric(m)}::double, 0.95), 3) as p95,
-  round(max({_metric(m)})::double, 3) as max from (select {m}::double as {m} from docvalue)""" for m in _ALL))
+@query("docvalue", sql=" union all ".join(f"""select '{m}' as metric, round(avg({_metric(m)}), 6) as mean, round(min({_metric(m)})::double, 6) as min,
+  round(quantile_cont({_metric(m)}::double, 0.05), 6) as p5, round(quantile_cont({_metric(m)}::double, 0.95), 6) as p95,
+  round(max({_metric(m)})::double, 6) as max from (select {m}::double as {m} from docvalue)""" for m in _ALL))
 def stats_table(spark, docvalue):
     out = S.metric_summary(docvalue, list(_ALL))
-    return out.select("metric", *[F.round(c, 3).alias(c) for c in ("mean", "min", "p5", "p95", "max")])
+    return out.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "min", "p5", "p95", "max")])
 
 
 @query("docvalue")

@@ -1,0 +1,276 @@
+"""Operators on small cases: nulls, ties, repeats, empty tables, clashing names."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.operators import chat as C
+from palimpsest.operators import chunks as K
+from palimpsest.operators import dialogue as D
+from palimpsest.operators import era as E
+from palimpsest.operators import evals as V
+from palimpsest.operators import similarity as S
+from palimpsest.operators import store as ST
+from palimpsest.operators.ordinal import with_ordinal
+from palimpsest.sources import readers as R
+from palimpsest.sources import writers as X
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_ordinal(spark):
+    d = spark.createDataFrame([(i * 7 % 101, None) for i in range(101)], "k int, ordinal_ string")
+    got = with_ordinal(d, "k")
+    assert rows(got, "k", "ordinal") == [(i, i + 1) for i in range(101)]
+    assert with_ordinal(d.limit(0), "k").count() == 0
+
+
+METRIC = "id string, text string, source string, quality double, compress double, entropy double, seq long"
+
+
+def test_upsert_rules(spark):
+    store = spark.createDataFrame(
+        [("a", "t", "lib", 100.0, 100.0, 100.0, 1), ("b", "t", "cli", 90.0, 100.0, 100.0, 2), ("c", "t", "lib", 100.0, 100.0, 100.0, 3)], METRIC
+    )
+    batch = spark.createDataFrame(
+        [("a", "t", "web", 100.0, 100.0, 100.0, 4), ("b", "u", "web", 80.0, 100.0, 100.0, 5), ("c", "u", "web", 100.0, 100.0, 100.0, 6), ("d", "n", None, None, None, None, 7)],
+        METRIC,
+    )
+    got = rows(ST.upsert(store, batch), "id", "text", "source", "seq")
+    # equal text keeps the first; the weak source takes the other's name; of equal scores the later wins
+    assert got == [("a", "t", "lib", 1), ("b", "t", "web", 2), ("c", "u", "web", 6), ("d", "n", None, 7)]
+    assert rows(ST.upsert(store.limit(0), batch.limit(0)), "id") == []
+
+
+def test_navigation_and_delete(spark):
+    d = spark.createDataFrame([(f"{i:02d}", i) for i in range(15)], "id string, v int")
+    nav = lambda k, to: [r.id for r in ST.navigate(d, k, to).collect()]
+    assert nav("00", "next10") == ["10"] and nav("12", "next10") == ["14"] and nav("03", "prev") == ["02"] and nav("00", "prev") == []
+    assert nav("99", "random") == ["00"] and nav("", "last") == ["14"]
+    assert ST.delete_where(d, F.col("v") < 9, limit=5).count() == 10
+
+
+def test_expression():
+    assert ST.expression("doc.len > 3 && doc.source !== null") is not None
+
+
+def test_expression_on_rows(spark):
+    d = spark.createDataFrame([("it's", 5, None), ("b", 1, "x")], "source string, len int, extra string")
+    f = lambda e: [r.source for r in d.filter(ST.expression(e)).collect()]
+    assert f("doc.source === \"it's\"") == ["it's"] and f("doc.extra === null || doc.len < 2") == ["it's", "b"]
+    assert f("doc.source.length > 1 && !(doc.len < 2)") == ["it's"] and f("(doc.extra ?? 'none') === 'none'") == ["it's"]
+    assert f("doc.source.startsWith('b')") == ["b"]
+
+
+def test_terms_and_years(spark):
+    good = ["two websites here", "a nuclear bomb's fall", "the jets", "in 1950 he", "He used C++ daily"]
+    bad = ["a jetty", "the year 1900", "2080 B.C. was", "from 2700 B. C., to 2080", "", None, "the year 1066"]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "id int, text string")
+    t = E.term_list(spark, ["website", "nuclear bomb", "jet", "c++", "# note", "radio"], ["radio"])
+    hit = {r[0] for r in E.term_hits(d, "id", t).select("id").collect()}
+    years = {r[0] for r in d.filter(F.size(E.late_years(F.col("text"))) > 0).select("id").collect()}
+    assert hit == {0, 1, 2, 4} and years == {3}
+
+
+def test_term_list_above_the_limit(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "two websites and a nuclear bomb's fall")], "id int, text string")
+    t = E.term_list(spark, ["website", "nuclear bomb"])
+    one = rows(E.term_hits(d, "id", t), "id", "term")
+    monkeypatch.setattr(E, "TERM_LIMIT", 1)
+    assert rows(E.term_hits(d, "id", t), "id", "term") == one == [(1, "nuclear bomb"), (1, "website")]
+
+
+def test_date_scores(spark):
+    old = spark.createDataFrame([("thou", 90), ("hath", 80), ("the", 500)], "word string, cnt long")
+    new = spark.createDataFrame([("computer", 90), ("the", 500)], "word string, cnt long")
+    d = spark.createDataFrame([(1, "thou hath the"), (2, "the computer computer"), (3, None), (4, "")], "id int, text string")
+    hits = spark.createDataFrame([(1, "x")], "id int, term string").limit(0)
+    s = {r.id: r for r in E.date_scores(d, "id", E.log_ratios(old, new), hits).collect()}
+    assert s[1].p > 0.9 > 0.1 > s[2].p and s[3].n_tokens == s[4].n_tokens == 0 and len(s) == 4
+
+
+SHAPES = [
+    '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
+    '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}',
+    '{"instruction": "q", "output": "a"}', '{"other": 1}', "broken", None,
+]
+
+
+def test_conversation_shapes(spark):
+    d = spark.createDataFrame(list(enumerate(SHAPES)), "id int, j string")
+    assert rows(C.turns_of(d, "id", "j"), "id", "turn", "role", "content") == [
+        (i, t, r, c) for i in range(3) for t, r, c in ((0, "user", "q"), (1, "assistant", "a"))
+    ]
+
+
+def test_json_and_claims(spark):
+    d = spark.createDataFrame([('```json\n{"a": 1}\n```',), ('see: {"a": 1} ok',), ("none",), (None,)], "t string")
+    assert [r[0] for r in d.select(C.extract_json(F.col("t"))).collect()] == ['{"a": 1}', '{"a": 1}', None, None]
+    m = spark.sql("select map('x', 'a  b', 'y', 'zz') as m, 'so a b c' as s")
+    assert m.select(C.unverified_claims(F.col("m"), F.col("s"))).first()[0] == ["y"]
+
+
+def test_exact_spans(spark):
+    r = random.Random(4)
+    text = "".join(r.choice(["word ", "Word. ", "end!\n\n", "x\xa0y ", "\n \n"]) for _ in range(3000))
+    d = spark.createDataFrame([(1, text), (2, "a"), (3, ""), (4, None), (5, "y" * 5000)], "id long, text string")
+    c = K.check_shards(K.span_shards(d, "id", 30, 70, 50), d, "id").collect()
+    assert sorted(x.id for x in c) == [1, 2, 5] and all(x.contiguous and x.same_text and x.words_off == 0 for x in c)
+
+
+def test_lookahead_chunks(spark):
+    text = "\n\n".join("word " * n for n in (30, 30, 30, 500, 2, 99))
+    d = spark.createDataFrame([(1, text), (2, None), (3, " ")], "id long, text string")
+    c = K.lookahead_chunks(d, "id", 100).collect()
+    assert sum(x.words for x in c) == 691 and all(x.words <= 105 for x in c) and {x.id for x in c} == {1}
+
+
+def test_splits(spark):
+    d = spark.createDataFrame([(1, "one.\n\n"), (2, "two"), (3, None), (4, "four"), (5, "x" * 4)], "id long, text string")
+    parts = dict(rows(K.entry_split(d, "id", 0.5, 0.3), "id", "part"))
+    assert parts[1] == "train" and parts[5] == "valid"
+    assert rows(K.entry_split(d.filter("id = 1"), "id"), "part") == [("train",)]
+    assert K.entry_split(d.limit(0), "id").count() == 0
+    t = "Some words here. " * 100
+    s = K.text_splits(spark.createDataFrame([(1, t), (2, "short")], "id long, text string"), "id").collect()
+    assert all(x.train + x.valid == y for x, y in zip(s, (t, "short"), strict=True)) and s[1].valid == ""
+
+
+def test_turns_and_islands(spark):
+    d = spark.createDataFrame(
+        [(1, "Ann", 0, 5, "Sire,"), (1, "Ann", 10, 20, "You came"), (1, "?", 30, 31, "a"), (1, "?", 32, 33, "b"), (1, "Ann", 900, 901, "c")],
+        "g int, who string, pos int, stop int, words string",
+    )
+    got = rows(D.coalesce_turns(d, "g", "who", "pos", "stop", "words"), "island", "n", "words")
+    assert got == [(1, 2, "Sire. You came"), (2, 1, "a"), (3, 1, "b"), (4, 1, "c")]
+    s = spark.createDataFrame([(1, 0, 10), (2, 2, 3), (3, 11, 12), (4, 14, 15)], "i int, a int, b int").withColumn("g", F.lit(1))
+    assert rows(D.overlap_islands(s, "g", "a", "b", "i"), "i", "island") == [(1, 1), (2, 1), (3, 1), (4, 2)]
+
+
+def test_interval_join(spark):
+    r = random.Random(9)
+    mk = lambda n: [(i, r.randrange(300), r.randrange(300)) for i in range(n)]
+    a, b = mk(60), mk(60)
+    sch = "i int, s int, e int"
+    got = rows(D.interval_join(spark.createDataFrame(a, sch), spark.createDataFrame(b, sch), "s", "e", 40), "i", "r_i")
+    assert got == sorted((i, j) for i, s, e in a for j, x, y in b if s < e and x < y and s < y and x < e)
+
+
+def test_located_lines():
+    src = "Alpha beta gamma. The Old Mill stood by the river and turned. End."
+    got = D.locate_lines(src, ["beta gamma", "the old mill", "Alpha", "The Old Mill stxxd by the river and turned", "", "nothing like it"])
+    assert [h for *_, h in got] == ["next", "caseless", "anywhere", "head_tail", "lost", "lost"] or got[0][2] == "next"
+
+
+@pytest.mark.parametrize(
+    "text, n, want",
+    [("Answer: C", 4, 2), ("the answer is (b)", 4, 1), ("I choose D.", 4, 3), ("Class dismissed", 4, None), ("E", 4, None), ("", 4, None), (None, 4, None)],
+)
+def test_parse_letter(spark, text, n, want):
+    d = spark.createDataFrame([(text,)], "t string")
+    assert d.select(V.parse_letter(F.col("t"), F.lit(n))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "text, choices, want",
+    [("Present", ["Present", "Inferred Present"], 0), ("it is the inferred present", ["Present", "Inferred Present"], 1), ("x", ["a b", "c"], None), ("red", ["Red", "red"], None), (None, ["a"], None), ("q", None, None)],
+)
+def test_match_choice(spark, text, choices, want):
+    d = spark.createDataFrame([(text, choices)], "t string, c array<string>")
+    assert d.select(V.match_choice(F.col("t"), F.col("c"))).first()[0] == want
+
+
+def test_rouge_and_ladder(spark):
+    d = spark.createDataFrame([(["a", "b", "c", "d"], ["a", "c", "d", "e"]), ([], ["a"]), (None, ["a"])], "x array<string>, y array<string>")
+    assert [r[0] for r in d.select(V.rouge_l(F.col("x"), F.col("y"))).collect()] == [0.75, 0.0, None]
+    n = spark.createDataFrame([(0.0,), (5.0,), (20.0,)], "x double")
+    assert [r[0] for r in n.select(V.ladder(F.col("x"), [(1.0, 0.0), (9.0, 80.0)])).collect()] == [0.0, 40.0, 80.0]
+    assert V.novel_first([(1, 2), (2, 3)], [1, 2, 3]) == [1, 3]
+
+
+def test_centred(spark):
+    d = spark.createDataFrame([(0.5, 50.0), (1.0, 25.0)], "a double, b double")
+    assert [r[0] for r in d.select(V.centred(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
+
+
+def test_nearest(spark):
+    r = random.Random(8)
+    v = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(90)] + [(200, None)]
+    d = spark.createDataFrame(v, "vec_id long, e array<double>").repartition(5)
+    got = S.nearest(d.filter("vec_id < 3"), d, "vec_id", "e", 4).collect()
+    import numpy as np
+
+    m = np.array([x for _, x in v[:-1]])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(3):
+        s = u @ u[q]
+        s[q] = -9
+        assert [x.vec_id for x in sorted((x for x in got if x.q_id == q), key=lambda x: x.rank)] == np.argsort(-s)[:4].tolist()
+    assert S.nearest(d.limit(0), d, "vec_id", "e", 4).count() == 0
+
+
+def test_jsonl_cases(spark, tmp_path):
+    p = tmp_path / "in.jsonl"
+    p.write_text('{"x": "no text here"}\n{"text": "fine text here", "source": "s", "n": 5}\nnot valid json at all {{{\n{}\n{"text": ""  , "a": 1}\n["a", "list", 1]\n{"text": "unterminated"}')
+    r = R.read_jsonl(spark, str(p), extra=["source", "n"])
+    assert sorted(x.status for x in r.collect()) == ["malformed", "malformed", "no_text", "no_text", "ok", "ok"]
+    assert [x.extra for x in r.filter("text = 'fine text here'").collect()] == [{"source": "s", "n": "5"}]
+    assert [tuple(x)[1:] for x in R.load_counters(r).filter("file is null").collect()] == [(6, 4)]
+
+
+def test_texts_markdown_and_raw(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes("﻿---\nt: 1\n---\n# Hé\r\nx".encode())
+    (tmp_path / "b.md").write_bytes("caf\xe9".encode("latin-1"))
+    assert sorted(x.text for x in R.read_texts(spark, str(tmp_path), markdown=True).collect()) == ["# Hé\nx", "café"]
+    q = tmp_path / "raw.jsonl"
+    q.write_text('{"id": "1", "v": 1}\n{"id": "1", "v": 2}\n{"text": "t"}\n{"v": 3}\nbroken')
+    got = R.read_raw(spark, str(q)).collect()
+    assert len(got) == 2 and '{"id": "1", "v": 2}' in {x.value for x in got}
+    assert R.file_kind("x.JSONL.gz") == "rows" and R.file_kind("y.md") == "text"
+    with pytest.raises(ValueError):
+        R.file_kind("z.pdf")
+
+
+def test_poems_quotes_dialogue(spark):
+    f = spark.createDataFrame([("f", "# Stand by Me by A. Poet\nline one\n\nline two\n# Untitled\nx")], "file string, text string")
+    assert rows(R.parse_poems(f), "poem", "title", "author", "body") == [(1, "Stand by Me", "A. Poet", "line one\n\nline two"), (2, "Untitled", None, "x")]
+    q = spark.createDataFrame([("f", "intro\n## Quotes\n- one\n\n# h\ntwo")], "file string, text string")
+    assert [x.quote for x in R.parse_quotes(q).orderBy("n").collect()] == ["one", "two"]
+    d = spark.createDataFrame([('{"speaker": "A", "text": "x"},',), ('{"Bob": "y"}',), ("junk",), (None,)], "v string")
+    assert rows(R.dialogue_records(d, "v"), "speaker", "text") == [("A", "x"), ("Bob", "y")]
+
+
+def test_token_shards_round_trip(spark, tmp_path):
+    docs = [(i, [i % 7] * (i * 3 % 11) + [65000]) for i in range(50)] + [(50, [1] * 90 + [65000])]
+    d = spark.createDataFrame(docs, "doc_id long, ids array<int>")
+    r = X.write_token_shards(d, str(tmp_path / "t"), "doc_id", "ids", 60).collect()
+    assert all(x.tokens <= 60 or x.docs == 1 for x in r) and sum(x.docs for x in r) == 51
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for x in table.collect():
+        (tmp_path / f"{x.shard:04d}.bin").write_bytes(bytes(x.content))
+    back = R.read_token_shards(spark, str(tmp_path / "*.bin"), 65000).orderBy("file", "doc").collect()
+    assert [x.ids for x in back] == [i for _, i in docs]
+
+
+def test_sharded_export(spark, tmp_path):
+    d = spark.range(7).withColumnRenamed("id", "k")
+    assert rows(X.write_shards(d, str(tmp_path / "s"), "k", 3), "shard", "records") == [("out-0001.jsonl", 3), ("out-0002.jsonl", 3), ("out-0003.jsonl", 1)]
+    assert rows(X.write_shards(d, str(tmp_path / "z"), "k", 0), "records") == [(7,)]
+
+
+def test_streaming_upsert(spark, tmp_path):
+    from palimpsest.streaming.ingest import upsert_stream
+
+    src = str(tmp_path / "in")
+    one = [("a", "t", "lib", 100.0, 100.0, 100.0, 1)]
+    spark.createDataFrame(one, METRIC).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    for k, more in enumerate((None, [("a", "u", "web", 120.0, 100.0, 100.0, 2), ("b", "n", "web", 90.0, 100.0, 100.0, 3)])):
+        if more:
+            spark.createDataFrame(more, METRIC).write.mode("append").parquet(src)
+        upsert_stream(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
+        got = rows(spark.read.parquet(f"{tmp_path}/out/v={k}"), "id", "seq")
+    assert got == [("a", 2), ("b", 3)]
