@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -152,10 +153,18 @@ def centred(acc: Column, baseline_pct: Column) -> Column:
     return (acc - b) / (1 - b)
 
 
-def nearest_rank(x: Column, q: float) -> Column:
-    """The value at the index int(n * q) of the sorted values, the last at most."""
-    s = F.array_sort(F.collect_list(x))
-    return F.try_element_at(s, F.least(F.size(s), F.floor(F.size(s) * q).cast("int") + 1))
+def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, one column a share): the value at the index int(n * share) of the group's sorted values.
+
+    Equal values are counted first; the running count then streams over a group's distinct
+    values in order. Nulls are left out.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(group)
+    total = per.groupBy(group).agg(F.sum("_n").alias("_all"))
+    c = per.withColumn("_cum", F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).join(total, group)
+    place = lambda q: F.least(F.floor(F.col("_all") * q), F.col("_all") - 1)
+    return c.groupBy(group).agg(*[F.min(F.when(F.col("_cum") > place(q), F.col(value))).alias(n) for n, q in shares.items()])
 
 
 def token_statistics(tokens: DataFrame, key: str, logprob: str) -> DataFrame:

@@ -92,10 +92,10 @@ def centered_core(spark, events):
   select event_type, round(v[least(len(v), floor(len(v) * 0.5::double)::int + 1)], 4) as p50, round(v[least(len(v), floor(len(v) * 0.99::double)::int + 1)], 4) as p99,
   round(list_avg(v), 4) as mean from s""")
 def latency_pctl(spark, events):
-    v = F.col("value")
-    return events.filter("value is not null").groupBy("event_type").agg(
-        F.round(E.nearest_rank(v, 0.5), 4).alias("p50"), F.round(E.nearest_rank(v, 0.99), 4).alias("p99"), F.round(F.avg(v), 4).alias("mean")
-    )
+    e = events.filter("value is not null")
+    ranks = E.nearest_ranks(e, "event_type", "value", {"p50": 0.5, "p99": 0.99})
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
+    return ranks.select("event_type", F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99")).join(mean, "event_type")
 
 
 @query("docvalue", sql="""with d as (select rec_id, """ + ", ".join(f"case when {c} is null or isnan({c}) then null else {c} end as {c}" for c in ("quality", "entropy", "dicthit")) + """ from docvalue)
