@@ -73,9 +73,9 @@ def key_nav(spark, docvalue):
     return out
 
 
-@query("docvalue", sql="select rec_id, id from docvalue where id in (select id from docvalue where rec_id % 97 = 0)")
+@query("docvalue", sql="select rec_id, id from docvalue where id in (select id from docvalue where batch_no = 3)")
 def multi_get(spark, docvalue):
-    keys = docvalue.filter("rec_id % 97 = 0 and id is not null").select("id").distinct()
+    keys = docvalue.filter("batch_no = 3 and id is not null").select("id").distinct()
     return docvalue.join(keys, "id", "left_semi").select("rec_id", "id")
 
 

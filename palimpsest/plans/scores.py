@@ -121,7 +121,7 @@ def token_stats(spark, events):
     return s.join(b, "event_type").select("event_type", *[F.round(c, 4).alias(c) for c in ("mean_p", "median_p", "p10", "rare", "perplexity", "bpb")])
 
 
-_EW = r"list_filter(regexp_split_to_array(left(text, 100000), '\s+'), lambda t: t <> '')"
+_EW = r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')"
 
 
 @query("documents", sql=rf"""with w as (select doc_id, {_EW} as w from documents where text is not null),
@@ -171,11 +171,11 @@ _TEMPLATES = [("summary", "Sum up: {text}"), ("title", "Name it: {text} ({era})"
 
 @query("documents", sql="""with t(prompt, template) as (values ('summary', 'Sum up: {text}'), ('title', 'Name it: {text} ({era})'))
   select doc_id, prompt, replace(replace(template, '{text}', coalesce(left(text, 50), '')), '{era}', coalesce(year_est::varchar, '?')) as task from documents, t
-  where not (doc_id % 3 = 0 and prompt = 'summary')""")
+  where not (coalesce(year_est, 0) < 1800 and prompt = 'summary')""")
 def plan_resume(spark, documents):
     """Every document with every template, less what is done, rendered."""
     t = spark.createDataFrame(_TEMPLATES, "prompt string, template string")
-    done = documents.filter("doc_id % 3 = 0").select("doc_id", F.lit("summary").alias("prompt"))
+    done = documents.filter("coalesce(year_est, 0) < 1800").select("doc_id", F.lit("summary").alias("prompt"))
     tasks = P.plan_tasks(documents.select("doc_id", F.left("text", F.lit(50)).alias("t"), "year_est"), t, done, ["doc_id", "prompt"])
     text, era = F.coalesce("t", F.lit("")), F.coalesce(F.col("year_est").cast("string"), F.lit("?"))
     return tasks.select("doc_id", "prompt", T.rendered(F.col("template"), text=text, era=era).alias("task"))
