@@ -28,12 +28,12 @@ from .words import mix, shingle_hashes, small_batches, word_hashes, words
 
 #: Fixed by the problem: word triples, similarity, least number of words.
 SHINGLE, SIMILARITY, MIN_WORDS = 3, 0.6, 20
-#: 28 bands of 4 values: two texts share a shard with probability 0.979 at similarity 0.6,
-#: 0.996 at 0.65; texts of a similarity of 0.02, as any two have here, with 0.000005.
-BANDS, ROWS = 28, 4
+#: 48 bands of 4 values: two texts share a shard with probability 0.9987 at similarity 0.6,
+#: 0.9999 at 0.65; texts of a similarity of 0.02, as any two have here, with 0.000008.
+BANDS, ROWS = 48, 4
 #: Hamming radius over 128 bits: at similarity 0.6 the expected distance is 29 and its
-#: deviation 4.8; of unlike texts (62, 5.6) it lets pass one in some thousands.
-RADIUS = 42
+#: deviation 4.8, so 0.9997 lie within it; of unlike texts (62, 5.6) it lets pass one in some hundreds.
+RADIUS = 46
 #: Texts of a shard that share a tree.
 BLOCK = 2048
 #: The filter that spares texts without candidates the verification's shingling: one megabyte.

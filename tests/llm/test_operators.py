@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm.p1_nearcopies import BKTree, near_copies
+from palimpsest.llm.p1_nearcopies import BANDS, RADIUS, ROWS, BKTree, _signatures, near_copies
 from palimpsest.llm.p3_cutoff import add_batch, build_tree, coded, cutoffs
 from palimpsest.llm.p4_split import cuts
 from palimpsest.llm.p6_pairs import CUTOFF, DEFECTS, fit_label_model, votes
@@ -47,6 +47,16 @@ def test_bk_tree_finds_all_within_the_radius():
         assert sorted(tree.within(f, 30)) == [i for i, g in enumerate(fps) if (f ^ g).bit_count() <= 30]
 
 
+def test_pairs_at_the_threshold_meet():
+    """Of pairs of similarity exactly 0.6 (75 of 125 shingles), 0.995 at least share a band within the radius."""
+    r, pairs = np.random.default_rng(7), 4000
+    both = r.integers(0, 2**63, (pairs, 125), dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, (pairs, 125), dtype=np.uint64)
+    h = np.stack([both[:, :100], both[:, 25:]], 1).ravel()
+    values, sim = _signatures(h, np.full(2 * pairs, 100), BANDS, ROWS)
+    meet = (values[::2] == values[1::2]).any(1) & (np.bitwise_count(sim[::2] ^ sim[1::2]).sum(1) <= RADIUS)
+    assert meet.mean() >= 0.995
+
+
 @pytest.mark.parametrize("block", [4, 2048])
 def test_near_copies_against_brute_force(spark, block):
     """Also with shards cut into blocks, as for a group that holds most of the rows."""
