@@ -8,6 +8,12 @@ no proper text has (a lower-case letter before a capital with an accent, a lette
 another script, or a sign). Only matched spans are replaced, in rounds, so that text
 garbled twice comes back too; right text beside them is left as it is.
 
+Of single-byte mistakes the other letters of a word with a match are read again too, unless
+one of them is right as it stands, and so are words without a match that stand between two
+such words of their line, with no right one between; beside one such word only signs inside
+words and capitals before small letters are. Other garbled words without a match stay as they
+are: nothing tells them from right ones.
+
 Null and empty texts are never garbled. The replacement character marks a loss: such
 documents are found, and restored as far as the rest goes.
 """
@@ -74,11 +80,11 @@ def utf8_sequences() -> dict[str, tuple[str, str]]:
     return out
 
 
-def byte_sequences() -> dict[str, tuple[str, str]]:
+def byte_sequences(pairs: tuple = BYTE_PAIRS) -> dict[str, tuple[str, str]]:
     """Impossible sequence -> (restored, pair) of the single-byte mistakes."""
     out: dict[str, tuple[str, str]] = {}
     small = [chr(x) for x in range(ord("a"), ord("z") + 1)]
-    for true, wrong in BYTE_PAIRS:
+    for true, wrong in pairs:
         name = f"{true}>{wrong}"
         for c in [*map(chr, range(0xDF, 0x100)), "œ"]:
             try:
@@ -114,6 +120,11 @@ def byte_sequences() -> dict[str, tuple[str, str]]:
     return out
 
 
+#: Signs that are right as they stand outside a matched span.
+_KEPT = frozenset("“”‘’–—…«»£°§")
+#: What a garbled character of a word can stand for.
+_LIKELY = frozenset([*map(chr, range(0xDF, 0xF7)), *map(chr, range(0xF8, 0x100)), *"œ“”’—–„¿¡«»"])
+_LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 #: Sequences that scanned or junk text has too; they count only beside others of their page.
 _WEAK = re.compile(r"^(?:¬(?![£ª´ø])|[ÐÑÄÅÎÏ])")
 
@@ -144,6 +155,7 @@ class Repairer:
                 except UnicodeDecodeError:
                     pass
             self.back[f"{true}>{wrong}"] = m
+        self.own = {f"{a}>{b}": byte_sequences(((a, b),)) for a, b in BYTE_PAIRS}
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, replacement, kind) of the multi-byte sequences that are evidence."""
@@ -167,6 +179,57 @@ class Repairer:
         """How often each single-byte mistake shows in the text."""
         return Counter(page for _, (_, _, page) in self.auto_byte.iter_long(text))
 
+    def byte_repair(self, text: str, best: str) -> str:
+        """The text with its single-byte mistakes undone, most of them of the kind `best`."""
+        back = self.back[best]
+        return "\n".join(self._line(line, best, back) for line in text.split("\n"))
+
+    def _line(self, line: str, best: str, back: dict[str, str]) -> str:
+        if line.isascii():
+            return line
+        out, inside = list(line), [False] * len(line)
+        for end, (seq, c, _) in self.auto_byte.iter_long(f"\n{line}\n"):
+            c = self.own[best].get(seq, (c,))[0]
+            for k in range(len(seq)):
+                i = end - len(seq) + k  # the line begins after a line break
+                if seq[k] != c[k]:
+                    out[i], inside[i] = c[k], True
+        if not any(inside):
+            return line
+        # of each word: a match in it, a letter that is right as it stands
+        words = []
+        for m in re.finditer(r"\S+", line):
+            at = [i for i in range(*m.span()) if line[i] > "\x7f"]
+            hit = any(inside[i] for i in at)
+            rest = [i for i in at if not inside[i] and line[i] not in _KEPT]
+            right = any(line[i].isalpha() and back.get(line[i]) not in _LIKELY for i in rest)
+            if hit:
+                # a small letter beside the match may be right
+                right = right or any(line[i].islower() and not self._odd(line, i) for i in rest)
+            if at:
+                words.append((rest, hit, right))
+        sure = [k for k, (_, hit, right) in enumerate(words) if hit or right]
+        for k, (rest, hit, right) in enumerate(words):
+            if right or not rest:
+                continue
+            near = (max((j for j in sure if j < k), default=None), min((j for j in sure if j > k), default=None))
+            beside = [not words[j][2] for j in near if j is not None]
+            for i in rest if hit or (beside and all(beside)) else ():
+                if back.get(line[i]) in _LIKELY and (hit or len(beside) == 2 or self._odd(line, i)):
+                    out[i] = back[line[i]]
+        return "".join(out)
+
+    @staticmethod
+    def _odd(line: str, i: int) -> bool:
+        """Whether no right word has the character there: a sign or ligature in a word, a capital
+        in the middle, an elided word's letter before one."""
+        x, before, after = line[i], line[i - 1 : i], line[i + 1 : i + 2]
+        if x == "í":
+            return after > "\x7f" and after.isupper()
+        if x in _LIGATURES or not x.isalpha():
+            return before.isalpha() or after.isalpha()
+        return x.isupper() and before.isalpha() and after.islower()
+
     def repair(self, text: str | None) -> tuple[str | None, int, list[str]]:
         """(restored text, replaced spans, kinds); the text itself where nothing is garbled."""
         if not text or text.isascii():
@@ -189,11 +252,7 @@ class Repairer:
             best = pairs.most_common(1)[0][0]
             kinds.add(best)
             total += sum(pairs.values())
-            # lines with evidence are read again as a whole, the others stay
-            table = str.maketrans(self.back[best])
-            text = "\n".join(
-                line.translate(table) if self.byte_pair(f"\n{line}\n") else line for line in text.split("\n")
-            )
+            text = self.byte_repair(text, best)
         return text, total, sorted(kinds)
 
 

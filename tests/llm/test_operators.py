@@ -141,6 +141,15 @@ def test_double_garbling_and_losses():
         assert r.repair(sound) == (sound, 0, [])
 
 
+def test_right_letters_beside_byte_mistakes_stay():
+    r = Repairer()
+    line = "También el camino débil, y compró el baúl. Él heredÛ lo que perdiÛ el tÌmido niÒo, señor."
+    assert r.repair(line)[0] == "También el camino débil, y compró el baúl. Él heredó lo que perdió el tímido niño, señor."
+    # a word with a match comes back whole, and so do words between two such words
+    whole = "Le cÈlËbre prÈcepteur mangea; ìThe crypt,î said the uncleís friend, the protÈgÈ of Garfieldóthe fÍte"
+    assert r.repair(whole)[0] == "Le célèbre précepteur mangea; “The crypt,” said the uncle’s friend, the protégé of Garfield—the fête"
+
+
 LABELLED = [
     ("Who was the father of Kel?", "TBD", "empty"), ("Who was the father of Kel?", "Osby.", None), ("Who was the father of Kel?", None, "empty"),
     ("Set down the verse Ruel 2:5.", "Set down the verse Ruel 2:5.", "echo"), ("Say after me, word for word: The old mill stood.", "The old mill stood.", None),
