@@ -1,15 +1,17 @@
 """Problem 7: held-out items that occur, in whole or in part, in the texts of a corpus.
 
-Items and texts are cut into windows of `width` words (whole items where they are shorter).
+Items and texts are cut into windows of `width` words (whole items where they are shorter);
+where edited windows are asked for, whole items are windows too, whatever their length.
 A window's SimHash is the sign of the summed bits of its words and word pairs. The items'
 fingerprints lie in a multi-index of BLOCKS blocks: two fingerprints within RADIUS bits
-(fewer than BLOCKS) agree in a block, so looking up each block finds all of them. The
-candidates are verified exactly by the weighted similarity of their shingles (words and
+(fewer than BLOCKS) agree in a block, and two within NEAR_RADIUS differ in some block by a
+BLOCKS-th of that at most, so each item window stands under all such values of its blocks
+and looking up each block finds all of them. The candidates are verified exactly by the weighted similarity of their shingles (words and
 word pairs, weighted by rarity among the items); similarity 1 with equal word order is a
 leak in the problem's sense.
 
-Only windows of which at least all but `strange` words are item words can be similar
-enough; others get no fingerprint. The query set is fixed: items are collected only up to
+The weight of words and word pairs that no item has bounds the similarity a window can
+reach; windows with too much of it get no fingerprint. The query set is fixed: items are collected only up to
 ITEM_BLOCK windows at a time, and more items are looked for in further blocks.
 
 Null and empty items and texts leak nothing. An item repeated under another id leaks by both.
@@ -32,8 +34,18 @@ from .words import mix, small_batches, word_hashes, words
 WIDTH = 8
 #: A fingerprint's blocks of 16 bits, and the Hamming radius they guarantee.
 BLOCKS, RADIUS = 4, 3
-#: Item windows that are broadcast at a time (about 200 bytes each).
-ITEM_BLOCK = 50_000
+#: The radius for edited windows: of item windows with a word replaced by a common one and a
+#: similarity of 0.8 or more, 444 of 446 of eight words and 21,446 of 21,446 whole items lie within it.
+NEAR_RADIUS = 19
+#: Item windows that are broadcast at a time (about 200 bytes each), and where edited windows
+#: are asked for (about 40 KB each, in the multi-index).
+ITEM_BLOCK, NEAR_BLOCK = 50_000, 5_000
+#: So few item windows of a width are compared with every text window instead of looked up.
+FEW = 128
+
+
+def _pair_hashes(h: np.ndarray) -> np.ndarray:
+    return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(h[1:]))
 
 
 def _window_prints(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -55,42 +67,92 @@ def _window_prints(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 class ItemIndex:
     """The windows of a bounded set of items, by width, with their multi-index."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], width: int):
+    def __init__(self, items: list[tuple[int, list[str]]], width: int, least: float = 1.0):
         by: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
         for id_, w in items:
             k = min(width, len(w))
             for s in range(len(w) - k + 1):
                 by[k].append((id_, w[s : s + k]))
-        self.vocab = np.unique(word_hashes([w for _, w in items])[0])
+            if least < 1 and len(w) > width:
+                by[len(w)].append((id_, w))
+        self.radius = RADIUS if least >= 1 else NEAR_RADIUS
         df = Counter(x for _, w in items for x in {*w, *zip(w, w[1:], strict=False)})
         self.weight = {x: math.log(1 + len(items) / n) for x, n in df.items()}
-        self.widths = {}
+        self.top = max(self.weight.values(), default=1.0)
+        self.vocab, self.word_weight = self._by_hash([x for x in self.weight if isinstance(x, str)])
+        self.pairs, self.pair_weight = self._by_hash([x for x in self.weight if isinstance(x, tuple)])
+        self.widths, self.windows, self.word_weights = {}, {}, {}
+        masks = np.array([m for m in range(1 << 16) if m.bit_count() <= self.radius // BLOCKS], np.uint16)
         for k, windows in by.items():
             h, _ = word_hashes([w for _, w in windows])
             prints = _window_prints(h, np.arange(len(windows)) * k, k)
             index = []
-            for b in range(BLOCKS):
-                part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            for b in range(BLOCKS) if least >= 1 or len(windows) > FEW else ():
+                part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.uint16)
+                part = (part[:, None] ^ masks).ravel()
                 order = np.argsort(part, kind="stable")
-                start = np.searchsorted(part[order], np.arange(65537))
-                index.append((order, start))
+                start = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=65536))])
+                index.append(((order // len(masks)).astype(np.int32), start))
             self.widths[k] = (np.array([i for i, _ in windows]), h.reshape(-1, k), prints, index)
+            self.windows[k] = [w for _, w in windows]
+            one = np.array([[self.weight[x] for x in w] for _, w in windows])
+            two = np.array([[self.weight[x] for x in zip(w, w[1:], strict=False)] for _, w in windows]).reshape(len(windows), k - 1)
+            self.word_weights[k] = (one, two)
+
+    def _by_hash(self, shingles: list) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes in order, their weights) of words or word pairs."""
+        h, _ = word_hashes([[x] if isinstance(x, str) else [*x] for x in shingles])
+        h = _pair_hashes(h)[::2] if shingles and isinstance(shingles[0], tuple) else h
+        order = np.argsort(h)
+        return h[order], np.array([self.weight[x] for x in shingles])[order]
+
+    def reach(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Running weights of word hashes: known words, all words, known pairs, all pairs."""
+        out = []
+        for x, vocab, weight in ((h, self.vocab, self.word_weight), (_pair_hashes(h), self.pairs, self.pair_weight)):
+            if not len(vocab):
+                known, w = np.zeros(len(x), bool), 0.0
+            else:
+                at = np.minimum(np.searchsorted(vocab, x), len(vocab) - 1)
+                known, w = vocab[at] == x, weight[at]
+            for part in (np.where(known, w, 0.0), np.where(known, w, self.top)):
+                out.append(np.concatenate([[0.0], np.cumsum(part)]))
+        return tuple(out)
 
-    def near(self, prints: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(text window, item window) within the radius, each pair once."""
+    def near(self, prints: np.ndarray, k: int):
+        """(text windows, item windows) within the radius, each pair once, in parts."""
         _, _, own, index = self.widths[k]
-        left, right = [], []
-        for b, (order, start) in enumerate(index):
-            part = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = start[part + 1] - start[part]
-            x = np.repeat(np.arange(len(prints)), n)
-            y = order[np.arange(n.sum()) + np.repeat(start[part] - (np.cumsum(n) - n), n)]
-            close = np.bitwise_count(prints[x] ^ own[y]) <= RADIUS
-            left.append(x[close])
-            right.append(y[close])
-        x, y = np.concatenate(left), np.concatenate(right)
-        one = np.unique(x.astype(np.int64) * len(own) + y)
-        return one // len(own), one % len(own)
+        for low in range(0, len(prints), 2_000):
+            own_part = prints[low : low + 2_000]
+            if not index:
+                x, y = np.nonzero(np.bitwise_count(own_part[:, None] ^ own) <= self.radius)
+                yield x + low, y
+                continue
+            left, right = [], []
+            for b, (order, start) in enumerate(index):
+                part = ((own_part >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+                n = start[part + 1] - start[part]
+                x = np.repeat(np.arange(len(own_part)), n)
+                y = order[np.arange(n.sum()) + np.repeat(start[part] - (np.cumsum(n) - n), n)]
+                close = np.bitwise_count(own_part[x] ^ own[y]) <= self.radius
+                left.append(x[close])
+                right.append(y[close])
+            x, y = np.concatenate(left), np.concatenate(right)
+            one = np.unique(x.astype(np.int64) * len(own) + y)
+            yield one // len(own) + low, one % len(own)
+
+    def may_reach(self, text_words: np.ndarray, y: np.ndarray, k: int, least: float) -> np.ndarray:
+        """Which pairs can be similar enough, by the weight of item words that the text lacks."""
+        _, item_words, _, _ = self.widths[k]
+        one, two = (w[y] for w in self.word_weights[k])
+        out = np.zeros(len(y), bool)
+        for low in range(0, len(y), 20_000):
+            at = slice(low, low + 20_000)
+            miss = ~(item_words[y[at], :, None] == text_words[at, None, :]).any(2)
+            lost = (one[at] * miss).sum(1) + (two[at] * (miss[:, 1:] | miss[:, :-1])).sum(1)
+            whole = one[at].sum(1) + two[at].sum(1)
+            out[at] = whole - lost >= least * whole - 1e-9
+        return out
 
 
 def similarity(a: tuple, b: tuple, weight: dict) -> float:
@@ -115,13 +177,13 @@ def leaks(
     rows = items.select(F.col(item_key).cast("long").alias("i"), F.col(query).alias("q")).filter("q is not null")
     rows = sorted((r.i, words(r.q)) for r in rows.toLocalIterator())
     blocks: list[list] = [[]]
-    room = ITEM_BLOCK
+    room = block = ITEM_BLOCK if least >= 1 else NEAR_BLOCK
     for i, w in rows:
         if not w:
             continue
         if room < len(w) and blocks[-1]:
             blocks.append([])
-            room = ITEM_BLOCK
+            room = block
         blocks[-1].append((i, w))
         room -= len(w)
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("t is not null")
@@ -133,10 +195,9 @@ def leaks(
 
 def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least: float) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
-    strange = 0 if least >= 1 else 2
 
     def run(batches):
-        index = ItemIndex(shared.value, width)
+        index = ItemIndex(shared.value, width, least)
         for whole in batches:
             for b in small_batches(whole, 1, 2_000_000):
                 keys = np.asarray(b.column(0))
@@ -146,6 +207,7 @@ def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least:
                     continue
                 at = np.minimum(np.searchsorted(index.vocab, h), len(index.vocab) - 1)
                 known = np.concatenate([[0], np.cumsum(index.vocab[at] == h)])
+                reach = index.reach(h) if least < 1 else ()
                 doc = np.repeat(np.arange(len(ws)), counts)
                 ends = np.cumsum(counts)
                 found: dict[tuple[int, int], float] = {}
@@ -153,18 +215,30 @@ def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least:
                     if len(h) < k:
                         continue
                     s = np.arange(len(h) - k + 1)
-                    ok = (known[s + k] - known[s] >= max(1, k - strange)) & (s + k <= ends[doc[s]])
+                    ok = s + k <= ends[doc[s]]
+                    if least >= 1:
+                        ok &= known[s + k] - known[s] >= k
+                    else:
+                        kw, aw, kp, ap = reach
+                        some = kw[s + k] - kw[s] + kp[s + k - 1] - kp[s]
+                        ok &= some >= least * (aw[s + k] - aw[s] + ap[s + k - 1] - ap[s]) - 1e-6
                     s = s[ok]
-                    x, y = index.near(_window_prints(h, s, k), k)
-                    same = (h[s[x, None] + np.arange(k)] == item_words[y]).all(1)
-                    for d, i in np.unique(np.stack([doc[s[x[same]]], ids[y[same]]], 1), axis=0).tolist():
-                        found[(d, i)] = 1.0
-                    if least < 1:
-                        for a, c in zip(s[x[~same]].tolist(), y[~same].tolist(), strict=True):
+                    for x, y in index.near(_window_prints(h, s, k), k):
+                        text_words = h[s[x, None] + np.arange(k)]
+                        same = (text_words == item_words[y]).all(1)
+                        for d, i in np.unique(np.stack([doc[s[x[same]]], ids[y[same]]], 1), axis=0).tolist():
+                            found[(d, i)] = 1.0
+                        if least >= 1:
+                            continue
+                        close = ~same
+                        close[close] = index.may_reach(text_words[close], y[close], k, least)
+                        for a, c in zip(s[x[close]].tolist(), y[close].tolist(), strict=True):
                             d, i = int(doc[a]), int(ids[c])
+                            if found.get((d, i)) == 1.0:
+                                continue
                             begin = int(ends[d] - counts[d])
                             text = tuple(ws[d][a - begin : a - begin + k])
-                            v = similarity(text, tuple(item_of(index, k, c)), index.weight)
+                            v = similarity(text, tuple(index.windows[k][c]), index.weight)
                             if v >= least and v > found.get((d, i), 0):
                                 found[(d, i)] = v
                 yield pa.RecordBatch.from_arrays(
@@ -176,16 +250,6 @@ def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least:
                     ["k", "i", "similarity"],
                 )
 
-    by_window: dict[int, list] = defaultdict(list)
-    for _, w in items:
-        k = min(width, len(w))
-        for s in range(len(w) - k + 1):
-            by_window[k].append(w[s : s + k])
-    windows = spark.sparkContext.broadcast(dict(by_window))
-
-    def item_of(index, k, c):
-        return windows.value[k][c]
-
     return src.mapInArrow(run, "k long, i long, similarity double")
 
 

@@ -172,6 +172,18 @@ def test_label_model_on_labelled_pairs():
         assert got[:1] == ([want] if want else [])
 
 
+def test_edited_items_are_found(spark):
+    """Items of 15 words with the middle one replaced: no eight words in a row, similarity 26 of 32."""
+    r = random.Random(11)
+    items = [(i, [f"w{i}x{k}" for k in range(15)]) for i in range(60)]
+    docs = [(i, " ".join(["so", *w[:7], r.choice("abc"), *w[8:], "then"])) for i, w in items]
+    d = spark.createDataFrame(docs, "rec_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, query string")
+    assert leaks(d, "rec_id", q, "item_id").count() == 0
+    got = leaks(d, "rec_id", q, "item_id", least=0.8).collect()
+    assert all(x.rec_id == x.item_id and abs(x.similarity - 26 / 32) < 1e-9 for x in got) and len(got) >= 59
+
+
 def test_edited_windows_are_similar(spark):
     docs = spark.createDataFrame([(1, "so a b c d e f g h then"), (2, "so a b c d x e f g h"), (3, None)], "rec_id long, text string")
     items = spark.createDataFrame([(7, "A b, c D e f g h"), (8, None)], "item_id long, query string")
