@@ -6,7 +6,6 @@ from files. Texts are exploded to distinct tokens or n-grams before any join.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +44,8 @@ def term_list(spark, banned: list[str], allowed: list[str] = ()) -> DataFrame:
 
 #: Terms that are looked up in memory; longer lists are joined.
 TERM_LIMIT = 5000
+#: Terms with other signs that are searched in one pass over the texts.
+PATTERN_BLOCK = 100
 
 
 def variants(term: str) -> list[str]:
@@ -52,17 +53,20 @@ def variants(term: str) -> list[str]:
     return [term, term + "es", term + "ed", term + "s"]
 
 
-def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
+def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text") -> DataFrame:
     """(key, term): terms of words that occur in each text, also with an ending of their last word.
 
     N-grams are looked up in the set of all variants within the row, so that only hits leave
     it; lists above TERM_LIMIT terms are joined to the exploded n-grams instead. What follows
-    an apostrophe in the last word is ignored. Terms with other signs than a-z, apostrophe
-    and blank are found by one pattern each.
+    an apostrophe in the last word is ignored. N-grams are as long as the list's terms are.
+    Terms with other signs than a-z, apostrophe and blank are found by one pattern each, in
+    blocks of PATTERN_BLOCK, however long the list is.
     """
     spark = docs.sparkSession
-    rows = [(r.term, r.n) for r in terms.select("term", "n").limit(TERM_LIMIT + 1).collect()]
-    plain = [(t, n) for t, n in rows if re.fullmatch("[a-z' ]+", t) and n <= longest]
+    is_plain = F.col("term").rlike("^[a-z' ]+$")
+    plain = [(r.term, r.n) for r in terms.filter(is_plain).select("term", "n").limit(TERM_LIMIT + 1).collect()]
+    sizes = sorted(r.n for r in terms.filter(is_plain).select("n").distinct().collect())
+    signed = sorted(r.term for r in terms.filter(~is_plain).select("term").distinct().toLocalIterator())
     toks = docs.select(key, T.word_tokens(F.col(text)).alias("w"))
 
     def ngrams(n: int) -> Column:
@@ -71,11 +75,9 @@ def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text", l
 
     none = spark.createDataFrame([], f"g string, {key} {docs.schema[key].dataType.simpleString()}")
     grams = []
-    joined = len(rows) > TERM_LIMIT
-    for n in range(1, longest + 1):
+    joined = len(plain) > TERM_LIMIT
+    for n in sizes:
         known = sorted({v for t, k in plain if k == n for v in variants(t)} | {t + "'" for t, k in plain if k == n})
-        if not known and not joined:
-            continue
         g = F.col("w") if n == 1 else ngrams(n)
         # an apostrophe cuts the last word; the mark stays, for no ending may come before it
         g = F.transform(g, lambda x: F.regexp_replace(x, "'[^ ]*$", "'"))
@@ -84,16 +86,18 @@ def term_hits(docs: DataFrame, key: str, terms: DataFrame, text: str = "text", l
         grams.append(toks.filter(F.size("w") >= n).select(F.explode(F.array_distinct(g)).alias("g"), key))
     g = reduce(DataFrame.unionByName, grams) if grams else none
     if joined:
-        t = terms.filter(F.col("term").rlike("^[a-z' ]+$"))
+        t = terms.filter(is_plain)
         ends = F.array(*[F.concat("term", F.lit(e)) for e in ("", "es", "ed", "s", "'")])
         lookup = t.select("term", F.explode(ends).alias("g"))
     else:
         pairs = [(t, v) for t, _ in plain for v in [*variants(t), t + "'"]]
         lookup = spark.createDataFrame(pairs, "term string, g string")
     hits = g.join(lookup, "g").select(key, "term")
-    for s in (t for t, _ in rows if not re.fullmatch("[a-z' ]+", t)):
-        pattern = r"(?i)(?<!\w)\Q" + s + r"\E(?!\w)"
-        hits = hits.unionByName(docs.filter(F.col(text).rlike(pattern)).select(key, F.lit(s).alias("term")))
+    for low in range(0, len(signed), PATTERN_BLOCK):
+        found = [
+            F.when(F.col(text).rlike(r"(?i)(?<!\w)\Q" + s + r"\E(?!\w)"), F.lit(s)) for s in signed[low : low + PATTERN_BLOCK]
+        ]
+        hits = hits.unionByName(docs.select(key, F.explode(F.array_compact(F.array(*found))).alias("term")))
     return hits.distinct()
 
 

@@ -83,6 +83,18 @@ def test_term_list_above_the_limit(spark, monkeypatch):
     assert rows(E.term_hits(d, "id", t), "id", "term") == one == [(1, "nuclear bomb"), (1, "website")]
 
 
+@pytest.mark.parametrize("limit", [5000, 1])
+def test_long_terms_and_all_signs(spark, monkeypatch, limit):
+    """Terms of more than four words, and terms with signs beyond the limit of the list."""
+    d = spark.createDataFrame([(1, "so Sir Michael Anthony Eardley Dummett's book"), (2, "C++ or c# or <b>"), (3, None)], "id int, text string")
+    t = E.term_list(spark, ["website", "nuclear bomb", "sir michael anthony eardley dummett", "c++", "c#", "<b>"])
+    monkeypatch.setattr(E, "TERM_LIMIT", limit)
+    monkeypatch.setattr(E, "PATTERN_BLOCK", 2, raising=False)
+    assert rows(E.term_hits(d, "id", t), "id", "term") == [
+        (1, "sir michael anthony eardley dummett"), (2, "<b>"), (2, "c#"), (2, "c++")
+    ]
+
+
 def test_date_scores(spark):
     old = spark.createDataFrame([("thou", 90), ("hath", 80), ("the", 500)], "word string, cnt long")
     new = spark.createDataFrame([("computer", 90), ("the", 500)], "word string, cnt long")
