@@ -76,7 +76,7 @@ def parsed_verses(spark, scripture):
 @query("documents")
 def poems(spark, documents):
     """Poems under headings of title and author, parsed from one text a source."""
-    block = F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(" by A. Nonymous\n"), F.left("text", F.lit(200)))
+    block = F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(" by A. Nonymous\n"), F.col("text"))
     files = documents.filter("text is not null and source is not null").groupBy(F.col("source").alias("file")).agg(
         F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text")
     )

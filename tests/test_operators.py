@@ -177,6 +177,16 @@ def test_located_lines():
     assert [h for *_, h in got] == ["next", "caseless", "anywhere", "head_tail", "lost", "lost"] or got[0][2] == "next"
 
 
+def test_whole_texts_in_plans_and_poems(spark, tmp_path):
+    from palimpsest.plans.registry import QUERIES
+
+    long_ = "A line of the poem. " * 40 + "\n" + "Its very last line"
+    spark.createDataFrame([(1, long_, "One", "src", 1850), (2, None, "Two", "src", None)], "doc_id long, text string, title string, source string, year_est int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.body for r in QUERIES["poems"](spark, str(tmp_path)).collect()] == [long_]
+    tasks = {(r.doc_id, r.prompt): r.task for r in QUERIES["plan_whole"](spark, str(tmp_path)).collect()}
+    assert tasks == {(1, "summary"): f"Sum up: {long_}", (1, "title"): f"Name it: {long_} (1850)", (2, "title"): "Name it:  (?)"}
+
+
 @pytest.mark.parametrize(
     "text, n, want",
     [("Answer: C", 4, 2), ("the answer is (b)", 4, 1), ("I choose D.", 4, 3), ("Class dismissed", 4, None), ("E", 4, None), ("", 4, None), (None, 4, None)],
