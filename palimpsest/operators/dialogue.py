@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -92,11 +93,36 @@ def canonical_names(lines: DataFrame, name: str, chunk: str, per_chunk: DataFram
     return d.withColumn("canonical", F.coalesce("_p", "_o", "_n", name)).drop("_f", "_f1", "_f2", "_f3", "_c", "_p", "_o", "_n")
 
 
+def _by_block(source: str, t: str, least: float) -> int:
+    """Where t would begin by its longest common block with the source, of at least the share `least`; else -1.
+
+    A block of more than half of t holds the middle of t, so only the places of the middle are tried.
+    """
+    n, need = len(t), math.ceil(least * len(t))
+    middle = t[n - need : need]
+    if not middle:
+        m = SequenceMatcher(None, source, t, autojunk=False).find_longest_match()
+        return max(0, m.a - m.b) if m.size and m.size >= need else -1
+    best, at = None, source.find(middle)
+    while at >= 0:
+        a, b = at, n - need
+        while a and b and source[a - 1] == t[b - 1]:
+            a, b = a - 1, b - 1
+        x, y = at + len(middle), need
+        while x < len(source) and y < n and source[x] == t[y]:
+            x, y = x + 1, y + 1
+        if x - a >= need and (best is None or (x - a, -a, -b) > best):
+            best = (x - a, -a, -b)
+        at = source.find(middle, at + 1)
+    return max(0, best[2] - best[1]) if best else -1
+
+
 def locate_lines(source: str, lines: list[str], least: float = 0.6) -> list[tuple[int, int, str]]:
     """(start, end, how) of each line in a source, from a cursor that only moves on.
 
     Tried in turn: after the cursor, anywhere, without case, by head and tail, by its first 28
-    characters, by the longest common block (of at least the share `least`); else (-1, -1, 'lost').
+    characters, by the longest common block with the whole source (of at least the share
+    `least`); else (-1, -1, 'lost').
     """
     out, cursor, low = [], 0, source.lower()
     for line in lines:
@@ -115,9 +141,8 @@ def locate_lines(source: str, lines: list[str], least: float = 0.6) -> list[tupl
             else:
                 how = "lost"
                 if t:
-                    m = SequenceMatcher(None, source[cursor : cursor + 20 * len(t)], t, autojunk=False).find_longest_match()
-                    if m.size >= least * len(t):
-                        hit, how = cursor + m.a, "fuzzy"
+                    hit = _by_block(source, t, least)
+                    how = "fuzzy" if hit >= 0 else how
         if hit < 0:
             out.append((-1, -1, "lost"))
             continue

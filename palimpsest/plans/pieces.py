@@ -148,3 +148,15 @@ def located_lines(spark, documents):
     d = documents.filter("text is not null")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(F.trim("line") != "")
     return D.located(lines, d.select("doc_id", F.col("text").alias("source_text")), "doc_id", "n", "line")
+
+
+@query("documents")
+def located_altered(spark, documents):
+    """Lines of each document, last first, every second of three in capitals, every third with a
+    letter changed, found again in it (checked in tests)."""
+    d = documents.filter("text is not null")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter(F.trim("line") != "")
+    changed = F.overlay("line", F.lit("~"), (F.length("line") / 4).cast("int") + 1)
+    line = F.when(F.col("n") % 3 == 1, F.upper("line")).when(F.col("n") % 3 == 2, changed).otherwise(F.col("line"))
+    lines = lines.select("doc_id", (-F.col("n")).alias("n"), line.alias("line"))
+    return D.located(lines, d.select("doc_id", F.col("text").alias("source_text")), "doc_id", "n", "line")

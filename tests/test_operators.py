@@ -177,6 +177,27 @@ def test_located_lines():
     assert [h for *_, h in got] == ["next", "caseless", "anywhere", "head_tail", "lost", "lost"] or got[0][2] == "next"
 
 
+def test_altered_lines_are_located_anywhere():
+    """Further on than 20 times the line's length, and before the cursor."""
+    line = "She went alone to the mill at dusk"
+    src = "First words here. " + line + ". " + "Other things were told of the road. " * 60 + "The last line of all."
+    changed = line.replace("alone", "alune")
+    got = D.locate_lines("x" * 3000 + src, [changed, "The last line of all.", changed, "wholly other"])
+    at = 3000 + src.index(line)
+    assert got == [(at, at + len(line), "fuzzy"), (3000 + len(src) - 21, 3000 + len(src), "next"), (at, at + len(line), "fuzzy"), (-1, -1, "lost")]
+
+
+def test_block_search_is_that_of_difflib():
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    for _ in range(500):
+        src, t = ("".join(r.choice("ab") for _ in range(n)) for n in (60, r.randrange(1, 14)))
+        m = SequenceMatcher(None, src, t, autojunk=False).find_longest_match()
+        got = D._by_block(src, t, 0.6)
+        assert (got >= 0) == (m.size >= 0.6 * len(t)) and (got < 0 or got == max(0, m.a - m.b))
+
+
 def test_whole_texts_in_plans_and_poems(spark, tmp_path):
     from palimpsest.plans.registry import QUERIES
 
@@ -187,6 +208,13 @@ def test_whole_texts_in_plans_and_poems(spark, tmp_path):
     assert tasks == {(1, "summary"): f"Sum up: {long_}", (1, "title"): f"Name it: {long_} (1850)", (2, "title"): "Name it:  (?)"}
 
 
+def test_located_altered_query(spark):
+    from palimpsest.plans.registry import QUERIES
+
+    how = {r.how: r["count"] for r in QUERIES["located_altered"](spark, "/root/testdata/sf0.001").groupBy("how").count().collect()}
+    assert how["anywhere"] > 0 and how["caseless"] > 0 and how["fuzzy"] > 0 and how.get("lost", 0) <= 0.1 * sum(how.values()), how
+
+
 @pytest.mark.parametrize(
     "text, n, want",
     [("Answer: C", 4, 2), ("the answer is (b)", 4, 1), ("I choose D.", 4, 3), ("Class dismissed", 4, None), ("E", 4, None), ("", 4, None), (None, 4, None)],
