@@ -2,11 +2,13 @@
 
 The garbled sequences of all encoding pairs are computed beforehand: what each character
 of the alphabets below becomes when its bytes of one encoding are read in another. They
-form one Aho-Corasick automaton. Multi-byte sequences (UTF-8 read as a single-byte code
+form one Aho-Corasick automaton, with all characters of the code pages in the alphabet. Multi-byte sequences (UTF-8 read as a single-byte code
 page) speak for themselves; of single-byte mistakes only those sequences are evidence that
 no proper text has (a lower-case letter before a capital with an accent, a letter of
-another script, or a sign). Only matched spans are replaced, in rounds, so that text
-garbled twice comes back too; right text beside them is left as it is.
+another script, or a sign). Only matched spans are replaced, in rounds until nothing is left,
+so that text garbled several times comes back too; right text beside them is left as it is.
+Several single-byte mistakes may meet in a text: each match is undone by its own one, or if
+several explain it by the one that explains most of the text.
 
 Of single-byte mistakes the other letters of a word with a match are read again too, unless
 one of them is right as it stands, and so are words without a match that stand between two
@@ -50,9 +52,10 @@ ALPHABET = [
     *map(chr, range(0x410, 0x450)),
     *"‐‑‒–—―‘’‚“”„†‡•…‰‹›€™ﬀﬁﬂﬃﬄﬅﬆſ﻿",
 ]
+# what each page's upper half holds: text garbled again and again consists of such characters
+ALPHABET += sorted({bytes([b]).decode(p, "ignore") for p in UTF8_READ_AS for b in range(0x80, 0x100)} - {*ALPHABET, ""})
 #: Signs that scanning leaves inside words; alone they are no evidence.
 SCAN_SIGNS = "¡¢£°†‡·•■|^«»¬§¤¶×÷ı~±"
-ROUNDS = 4
 LOST = "�"
 
 
@@ -126,7 +129,7 @@ _KEPT = frozenset("“”‘’–—…«»£°§")
 _LIKELY = frozenset([*map(chr, range(0xDF, 0xF7)), *map(chr, range(0xF8, 0x100)), *"œ“”’—–„¿¡«»"])
 _LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ"
 #: Sequences that scanned or junk text has too; they count only beside others of their page.
-_WEAK = re.compile(r"^(?:¬(?![£ª´ø])|[ÐÑÄÅÎÏ])")
+_WEAK = re.compile(r"^(?:¬(?![£ª´ø])|[ÐÑÄÅÎÏ]|Æ’)")
 
 
 class Repairer:
@@ -159,9 +162,13 @@ class Repairer:
 
     def spans(self, text: str) -> list[tuple[int, int, str, str]]:
         """(start, end, replacement, kind) of the multi-byte sequences that are evidence."""
-        found = []
+        found: list[tuple[int, int, str, str, bool]] = []
         for end, (seq, c, page) in self.auto.iter_long(text):
-            found.append((end + 1 - len(seq), end + 1, c, page, bool(_WEAK.match(seq))))
+            a = end + 1 - len(seq)
+            # a letter between quoting marks: garbled text would have the first mark garbled too
+            if len(seq) == 2 and text[end] == "»" and text[a - 1 : a] == "«" and not (found and found[-1][1] == a):
+                continue
+            found.append((a, end + 1, c, page, bool(_WEAK.match(seq))))
         strong = {p for *_, p, w in found if not w}
         out = []
         for i, (a, b, c, p, weak) in enumerate(found):
@@ -176,48 +183,62 @@ class Repairer:
         return out
 
     def byte_pair(self, text: str) -> Counter:
-        """How often each single-byte mistake shows in the text."""
-        return Counter(page for _, (_, _, page) in self.auto_byte.iter_long(text))
-
-    def byte_repair(self, text: str, best: str) -> str:
-        """The text with its single-byte mistakes undone, most of them of the kind `best`."""
-        back = self.back[best]
-        return "\n".join(self._line(line, best, back) for line in text.split("\n"))
-
-    def _line(self, line: str, best: str, back: dict[str, str]) -> str:
+        """How much evidence of the text each single-byte mistake explains."""
+        n: Counter = Counter()
+        for seq, k in Counter(seq for _, (seq, _, _) in self.auto_byte.iter_long(text)).items():
+            for page in self.own:
+                n[page] += k * (seq in self.own[page])
+        return +n
+
+    def byte_repair(self, text: str) -> tuple[str, int, set[str]]:
+        """(text with its single-byte mistakes undone, their matches, their kinds)."""
+        pairs = self.byte_pair(text)
+        if not pairs:
+            return text, 0, set()
+        # a match that several mistakes explain is of the one that explains most of the text
+        order = sorted(pairs, key=lambda p: (-pairs[p], [*self.own].index(p)))
+        done = [self._line(line, order) for line in text.split("\n")]
+        return "\n".join(x[0] for x in done), sum(x[1] for x in done), {k for x in done for k in x[2]}
+
+    def _line(self, line: str, order: list[str]) -> tuple[str, int, set[str]]:
         if line.isascii():
-            return line
-        out, inside = list(line), [False] * len(line)
-        for end, (seq, c, _) in self.auto_byte.iter_long(f"\n{line}\n"):
-            c = self.own[best].get(seq, (c,))[0]
+            return line, 0, set()
+        out, inside, kind, hits = list(line), [False] * len(line), {}, 0
+        for end, (seq, _, _) in self.auto_byte.iter_long(f"\n{line}\n"):
+            page = next(p for p in order if seq in self.own[p])
+            c, hits = self.own[page][seq][0], hits + 1
             for k in range(len(seq)):
                 i = end - len(seq) + k  # the line begins after a line break
                 if seq[k] != c[k]:
-                    out[i], inside[i] = c[k], True
-        if not any(inside):
-            return line
-        # of each word: a match in it, a letter that is right as it stands
+                    out[i], inside[i], kind[i] = c[k], True, page
+        if not kind:
+            return line, 0, set()
+        # of each word: its mistake, whether a match is in it, whether a letter is right as it stands
         words = []
         for m in re.finditer(r"\S+", line):
             at = [i for i in range(*m.span()) if line[i] > "\x7f"]
-            hit = any(inside[i] for i in at)
+            hit = [kind[i] for i in at if inside[i]]
+            back = self.back[hit[0] if hit else order[0]]
             rest = [i for i in at if not inside[i] and line[i] not in _KEPT]
             right = any(line[i].isalpha() and back.get(line[i]) not in _LIKELY for i in rest)
             if hit:
                 # a small letter beside the match may be right
                 right = right or any(line[i].islower() and not self._odd(line, i) for i in rest)
             if at:
-                words.append((rest, hit, right))
+                words.append((rest, hit[:1], right))
         sure = [k for k, (_, hit, right) in enumerate(words) if hit or right]
         for k, (rest, hit, right) in enumerate(words):
             if right or not rest:
                 continue
-            near = (max((j for j in sure if j < k), default=None), min((j for j in sure if j > k), default=None))
-            beside = [not words[j][2] for j in near if j is not None]
-            for i in rest if hit or (beside and all(beside)) else ():
+            near = [j for j in (max((j for j in sure if j < k), default=None), min((j for j in sure if j > k), default=None)) if j is not None]
+            beside = [not words[j][2] for j in near]
+            if not hit and not (beside and all(beside)):
+                continue
+            back = self.back[(hit or words[near[0]][1] or order)[0]]
+            for i in rest:
                 if back.get(line[i]) in _LIKELY and (hit or len(beside) == 2 or self._odd(line, i)):
                     out[i] = back[line[i]]
-        return "".join(out)
+        return "".join(out), hits, set(kind.values())
 
     @staticmethod
     def _odd(line: str, i: int) -> bool:
@@ -231,29 +252,32 @@ class Repairer:
         return x.isupper() and before.isalpha() and after.islower()
 
     def repair(self, text: str | None) -> tuple[str | None, int, list[str]]:
-        """(restored text, replaced spans, kinds); the text itself where nothing is garbled."""
+        """(restored text, replaced spans, kinds); the text itself where nothing is garbled.
+
+        Rounds go on until nothing is found; each makes the text shorter or its evidence less.
+        """
         if not text or text.isascii():
             return text, 0, []
-        total, kinds = 0, set()
-        for k in range(ROUNDS):
-            spans = self.spans(text)
-            kinds.update(p for *_, p in spans)
-            todo = [s for s in spans if s[3] != "lost"]
-            total += len(todo) if k else len(spans)
-            if not todo:
-                break
-            parts, at = [], 0
-            for a, b, c, _ in todo:
-                parts += [text[at:a], c]
-                at = b
-            text = "".join([*parts, text[at:]])
-        pairs = self.byte_pair(text)
-        if pairs:
-            best = pairs.most_common(1)[0][0]
-            kinds.add(best)
-            total += sum(pairs.values())
-            text = self.byte_repair(text, best)
-        return text, total, sorted(kinds)
+        total, kinds, lost = 0, set(), text.count(LOST)
+        if lost:
+            total, kinds = lost, {"lost"}
+        while True:
+            todo = [s for s in self.spans(text) if s[3] != "lost"]
+            if todo:
+                total += len(todo)
+                kinds.update(p for *_, p in todo)
+                parts, at = [], 0
+                for a, b, c, _ in todo:
+                    parts += [text[at:a], c]
+                    at = b
+                text = "".join([*parts, text[at:]])
+                continue
+            fixed, n, pages = self.byte_repair(text)
+            total += n
+            kinds |= pages
+            if fixed == text or sum(self.byte_pair(fixed).values()) >= sum(self.byte_pair(text).values()):
+                return fixed, total, sorted(kinds)
+            text = fixed
 
 
 _REPAIRER: list[Repairer] = []

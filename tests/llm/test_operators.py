@@ -188,3 +188,18 @@ def test_edited_windows_are_similar(spark):
     docs = spark.createDataFrame([(1, "so a b c d e f g h then"), (2, "so a b c d x e f g h"), (3, None)], "rec_id long, text string")
     items = spark.createDataFrame([(7, "A b, c D e f g h"), (8, None)], "item_id long, query string")
     assert [tuple(r) for r in leaks(docs, "rec_id", items, "item_id").collect()] == [(1, 7, 1.0)]
+
+
+def test_garbled_again_and_again():
+    """Six readings in a wrong page, two single-byte mistakes in one text, and letters in quoting marks."""
+    from palimpsest.llm.p10_mojibake import _read
+
+    r, text = Repairer(), "l’été à Œuvre, dit l’élève — ψυχή"
+    again = text
+    for _ in range(6):
+        again = _read(again.encode(), "cp1252")
+        assert r.repair(again)[0] == text
+    assert r.repair("Il a mangÈ le thé au cafÈ.")[0] == "Il a mangé le thé au café."
+    two = r.repair("Il a mangÈ au cafÈ.\nElle a mangй au cafй.")
+    assert two[0] == "Il a mangé au café.\nElle a mangé au café." and two[2] == ["cp1252>cp1251", "cp1252>mac_roman"]
+    assert r.repair("La lettre «Â» et la lettre «Ã».") == ("La lettre «Â» et la lettre «Ã».", 0, [])
