@@ -8,8 +8,8 @@ characters lie in lines that are not prose.
 
 The model starts from the tables below and is trained by Viterbi training on the lines of
 at most TRAIN_TEXTS texts, chosen by a hash of their id; the tables weigh as PRIOR lines.
-The vocabulary and the trained tables are broadcast: the vocabulary only up to MAX_VOCAB
-words, by count, where a larger one would add nothing but rare words.
+The vocabulary and the trained tables are broadcast: of the vocabulary 8 bytes a word. More
+than MAX_VOCAB words are refused with an error, never cut.
 
 Null, empty and blank texts have statistics of 0 and are natural; so are texts under
 MIN_CHARS characters.
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from ..tables import spread, table
 from .hmm import LineHmm
 from .p6_pairs import FUNCTION_WORDS
-from .words import small_batches
+from .words import WordSet, small_batches
 
 STATES = ("prose", "list", "table", "junk")
-MIN_CHARS, SEGMENT, TRAIN_TEXTS, PRIOR, MAX_VOCAB = 100, 240, 2000, 4000.0, 200_000
+MIN_CHARS, SEGMENT, TRAIN_TEXTS, PRIOR, MAX_VOCAB = 100, 240, 2000, 4000.0, 20_000_000
 #: A word of the vocabulary is known from this count on.
 KNOWN_CNT = 3
 _ALL_WORDS = re.compile(r"[^\W_]+")
@@ -73,7 +73,7 @@ START = {
     # digits: under 4 %, 15 %, 40 %, above
     "digits": ((0.92, 0.05, 0.02, 0.01), (0.30, 0.40, 0.28, 0.02), (0.15, 0.30, 0.45, 0.10), (0.55, 0.15, 0.10, 0.20)),
     # repetition within the text: no, yes
-    "repeat": ((0.98, 0.02), (0.98, 0.02), (0.97, 0.03), (0.60, 0.40)),
+    "repeat": ((0.9995, 0.0005), (0.98, 0.02), (0.97, 0.03), (0.60, 0.40)),
     # length: under 25 characters, 80, longer
     "length": ((0.12, 0.48, 0.40), (0.40, 0.50, 0.10), (0.30, 0.60, 0.10), (0.20, 0.40, 0.40)),
 }
@@ -85,8 +85,8 @@ NAMES = tuple(START)
 class Lines:
     """Observes the lines of texts; holds the vocabulary."""
 
-    def __init__(self, known: frozenset[str]):
-        self.known = known | _FUNCTION
+    def __init__(self, known: WordSet | frozenset[str]):
+        self.known = known
         self.kind: dict[str, int] = {}
         cls = np.zeros(0x3000, np.uint8)
         for c in range(0x3000):
@@ -105,7 +105,7 @@ class Lines:
             for w in set(words):
                 if w not in self.kind:
                     self.kind[w] = (
-                        1 if w in self.known else 3 if w.isnumeric()
+                        1 if w in _FUNCTION or w in self.known else 3 if w.isnumeric()
                         else 2 if len(w) > 24 or (len(w) > 2 and _ODD_WORD.search(w)) else 0
                     )
             kinds = list(map(self.kind.get, words))
@@ -203,23 +203,39 @@ class Lines:
 
     @staticmethod
     def _repeats(per: list[list[str]]) -> np.ndarray:
-        """Whether most of a segment's word triples come again and again in the text."""
+        """Whether most of a segment is copied over and over, at any distance.
+
+        Its word triples must come four times at least in the text, and each at the same
+        distance for as long as that distance is: prose has frequent triples too, but alone.
+        """
         out = np.zeros(len(per), np.int8)
         w = [x for s in per for x in s]
         if len(w) < 12:
             return out
-        # a phrase over and over has few distinct words in every stretch; others need no count
-        if all(len(set(w[k : k + 200])) > 0.4 * len(w[k : k + 200]) for k in range(0, len(w), 200)):
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(x, len(number)) for x in w], np.int64)
+        tri = (ids[:-2] * len(number) + ids[1:-1]) * len(number) + ids[2:]
+        order = np.argsort(tri, kind="stable")
+        same = tri[order[1:]] == tri[order[:-1]]
+        if not (same[2:] & same[1:-1] & same[:-2]).any():
             return out
-        tri = list(zip(w, w[1:], w[2:], strict=False))
-        count: dict = {}
-        for x in tri:
-            count[x] = count.get(x, 0) + 1
+        gap = np.where(same, order[1:] - order[:-1], 0)
+        run = np.cumsum(np.concatenate([[True], ~same])) - 1
+        often = np.zeros(len(tri), bool)
+        often[order] = np.bincount(run)[run] >= 4
+        copied = np.zeros(len(tri), bool)
+        for lag in (np.concatenate([[0], gap]), np.concatenate([gap, [0]])):
+            at = np.zeros(len(tri), np.int64)
+            at[order] = lag
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            size = np.diff(np.concatenate([first, [len(at)]]))
+            copied |= np.repeat((at[first] > 0) & (size >= at[first]), size)
+        hits = np.concatenate([[0], np.cumsum(copied & often)])
         k = 0
         for i, s in enumerate(per):
-            own = tri[k : k + max(1, len(s) - 2)]
+            end = min(k + max(1, len(s) - 2), len(tri))
+            out[i] = end > k and hits[end] - hits[k] > 0.6 * (end - k)
             k += len(s)
-            out[i] = bool(own) and sum(count[x] >= 3 for x in own) > 0.6 * len(own)
         return out
 
 
@@ -238,10 +254,13 @@ def odd_share(model: LineHmm, obs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.bincount(model.label(obs), sizes, len(STATES)) / max(1, sizes.sum())
 
 
-def known_words(vocab: DataFrame, least: int = KNOWN_CNT) -> frozenset[str]:
-    """The vocabulary's words of at least this count, the MAX_VOCAB most frequent at most."""
+def known_words(vocab: DataFrame, least: int = KNOWN_CNT) -> WordSet:
+    """All words of the vocabulary of at least this count; more than MAX_VOCAB are an error."""
     v = vocab.filter((F.col("cnt") >= least) & F.col("word").isNotNull() & (F.col("word") != "__total__"))
-    return frozenset(r.word for r in v.orderBy(F.desc("cnt"), "word").limit(MAX_VOCAB).select("word").collect())
+    h = v.select(F.xxhash64("word").alias("h")).limit(MAX_VOCAB + 1).toArrow().column(0).to_numpy()
+    if len(h) > MAX_VOCAB:
+        raise ValueError(f"a vocabulary of more than {MAX_VOCAB} words is not broadcast")
+    return WordSet(h)
 
 
 def fit(docs: DataFrame, key: str, text: str, known, texts: int = TRAIN_TEXTS) -> LineHmm:
@@ -269,8 +288,8 @@ STATS_SCHEMA = (
 )
 
 
-def text_statistics(docs: DataFrame, key: str, vocab: DataFrame, text: str = "text") -> DataFrame:
-    """(key, statistics, label shares, natural): one row for each row of docs."""
+def text_statistics(docs: DataFrame, key: str, vocab: DataFrame, text: str = "text", carry: tuple = ()) -> DataFrame:
+    """(key, statistics, label shares, natural, the columns of `carry` as doubles): one row for each row of docs."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(known_words(vocab))
     model = spark.sparkContext.broadcast(fit(docs, key, text, known))
@@ -289,17 +308,19 @@ def text_statistics(docs: DataFrame, key: str, vocab: DataFrame, text: str = "te
                 cols = list(zip(*rows, strict=True))
                 arrays = [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())]
                 arrays += [pa.array(c, pa.float64()) for c in cols[3:-1]] + [pa.array(cols[-1], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in STATS_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(arrays + b.columns[2:], [f.split()[0] for f in schema.split(", ")])
 
-    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    return src.mapInArrow(run, STATS_SCHEMA).withColumnRenamed("k", key)
+    schema = ", ".join([STATS_SCHEMA, *[f"c{i} double" for i in range(len(carry))]])
+    src = docs.select(
+        F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(carry)]
+    )
+    return src.mapInArrow(run, schema).withColumnsRenamed({"k": key} | {f"c{i}": c for i, c in enumerate(carry)})
 
 
 def p2_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record: its statistics and label shares beside the stored metrics."""
-    docs = table(spark, folder, "docvalue")
-    out = text_statistics(spread(docs.select("rec_id", "text")), "rec_id", table(spark, folder, "vocab"))
-    return out.join(docs.select("rec_id", "quality", "dicthit"), "rec_id", "left")
+    docs = table(spark, folder, "docvalue").select("rec_id", "text", "quality", "dicthit")
+    return text_statistics(spread(docs), "rec_id", table(spark, folder, "vocab"), carry=("quality", "dicthit"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

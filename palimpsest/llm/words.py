@@ -46,6 +46,18 @@ def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return table[coded.indices.to_numpy()], counts
 
 
+class WordSet:
+    """A set of words as sorted 64-bit hashes, 8 bytes a word, for a broadcast of known size."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes.astype(np.int64).view(np.uint64))
+
+    def __contains__(self, word: str) -> bool:
+        h = np.uint64(xxhash.xxh64_intdigest(word, seed=42))  # as the built-in xxhash64 has it
+        i = self.hashes.searchsorted(h)
+        return i < len(self.hashes) and self.hashes[i] == h
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit over all bits."""
     h = (h ^ (h >> np.uint64(33))) * _MIX[1]

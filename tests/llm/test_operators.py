@@ -203,3 +203,42 @@ def test_garbled_again_and_again():
     two = r.repair("Il a mangÈ au cafÈ.\nElle a mangй au cafй.")
     assert two[0] == "Il a mangé au café.\nElle a mangé au café." and two[2] == ["cp1252>cp1251", "cp1252>mac_roman"]
     assert r.repair("La lettre «Â» et la lettre «Ã».") == ("La lettre «Â» et la lettre «Ã».", 0, [])
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 100, 300])
+def test_a_phrase_over_and_over_is_seen_at_any_length(size):
+    from palimpsest.llm.p2_quality import Lines
+
+    phrase = [f"w{i}" for i in range(size)]
+    per = [phrase * 3 for _ in range(10)]
+    assert Lines._repeats(per).all()
+    prose = [[f"a{i}", "in", "the", "year", "of", "the", f"b{i}"] for i in range(60)]
+    assert not Lines._repeats(prose).any()
+
+
+def test_a_vocabulary_is_refused_rather_than_cut(spark, monkeypatch):
+    from palimpsest.llm import p2_quality as Q
+
+    v = spark.createDataFrame([("kettle", 5), ("été", 3), ("rare", 2), ("__total__", 10), (None, 4)], "word string, cnt long")
+    known = Q.known_words(v)
+    assert "kettle" in known and "été" in known and "rare" not in known and "__total__" not in known
+    monkeypatch.setattr(Q, "MAX_VOCAB", 1)
+    with pytest.raises(ValueError):
+        Q.known_words(v)
+
+
+def test_training_moves_labels_and_unseen_kinds_are_seen(spark):
+    """Kinds of lists and tables that no pattern names; the trained tables differ from the first ones."""
+    from palimpsest.llm import p2_quality as Q
+
+    r, some = random.Random(2), "the miller stood beside an old gate and counted his sheep while widow sang of winter".split()
+    lines = Q.Lines(frozenset(some))
+    prose = "\n".join(" ".join(r.choices(some, k=12)).capitalize() + "." for _ in range(12))
+    figures = "\n".join(f"{k * 37 % 91} {k * 11 % 17} {k * 53 % 29}" for k in range(30))
+    junk = "\n".join("xq" + "zvkw"[k % 4] * 3 + " bcdfg plmk wrtz" for k in range(30))
+    start, obs = Q.start_model(), [lines.observe([t])[0][0] for t in (prose, figures, junk)]
+    trained = start.trained(obs * 40, 100.0)
+    assert any(np.abs(np.exp(a) - np.exp(b)).max() > 0.05 for a, b in zip(start.emit, trained.emit, strict=True))
+    for model in (start, trained):
+        odd = [Q.odd_share(model, o, np.ones(len(o)))[1:].sum() > 0.5 for o in obs]
+        assert odd == [False, True, True]
