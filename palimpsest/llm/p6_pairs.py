@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,8 @@ from ..tables import table
 
 #: In order of precedence.
 DEFECTS = ("empty", "echo", "refusal", "other_language", "truncated")
-#: Least posterior of a label; validated on labelled pairs in tests/llm/test_p6.py.
+#: Least posterior of a label. tests/llm/test_p6.py chooses cutoffs on labelled pairs by
+#: `choose_cutoff` and holds these against them, and against pairs that it set aside.
 CUTOFF = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "other_language": 0.5, "truncated": 0.5}
 #: Spellings of the two roles.
 USER, ASSISTANT = ("user", "human", "prompter"), ("assistant", "gpt", "model", "bot")
@@ -97,6 +97,22 @@ _EXCUSE = re.compile(
     r"your pardon|my guidelines|help with (?:something|another)|not permitted",
     re.I,
 )
+# How else an answer declines: of the request as a matter, or by sending the asker away.
+_DECLINE = re.compile(
+    r"unanswered|(?:keep|maintain|observe) (?:my |a )?silence|hold my (?:peace|tongue)|"
+    r"(?:is|are|lies?|lieth|falls?|falleth|goes|goeth|stands?) (?:\w+ )?(?:beyond|outside|against) (?:of )?(?:my|what)\b|"
+    r"(?:find|ask|seek|consult|try|go to) (?:some ?one|somebody|another|others)\b|"
+    r"(?:not|no|nothing|never)\b[^.,;:!?]{0,20}\bi (?:\w+ )?(?:discuss|speak|talk|say|answer|treat)\b|"
+    r"\bi (?:do not|don[’']t|shall not|will not|cannot|can[’']t|may not|must not|never|would (?:rather|sooner) not|prefer not to) "
+    r"(?:\w+ ){0,2}(?:discuss|answer|speak|talk|say|tell|give|recite|provide|help|respond|comment)\b|"
+    r"\bi (?:must |shall |will |would |do |have to )?(?:decline|refuse|abstain|pass)\b|no comment|not at liberty|prefer not\b",
+    re.I,
+)
+#: Words an answer uses of the asking itself, not of its matter.
+_ASIDE = re.compile(r"\b(?:question|request|ask(?:ed|ing|est)?|answer(?:ed|ing)?|tell you|tell thee|discuss|apolog\w+|sorry|regret|forgive|pardon|silence)\b", re.I)
+_QUOTED = re.compile(r"(?:(?<=\s)|^)(?:'[^']*(?:'(?!\w)|$)|‘[^’]*(?:’|$)|\"[^\"]*(?:\"|$)|“[^”]*(?:”|$)|«[^»]*(?:»|$)|„[^“”]*(?:[“”]|$))")
+_FRAME = re.compile(r"^[^:\n]{1,80}:\s+")
+_DOTS = re.compile(r"(?:\.\s?\.\s?\.|…)[^\w]*$")
 _DANGLING = frozenset(
     "the of and a an his her their our to with by in at upon unto for or but as is was were are that which be from "
     "mr mrs dr le la les un une de des du et der die das ein und el los en y su mit von".split()
@@ -110,13 +126,16 @@ def word_list(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def language(text: str) -> tuple[str | None, int]:
-    """(language by function words, how far it leads); None without evidence."""
-    ws = word_list(text)
-    n = {k: sum(w in v for w in ws) for k, v in _FUNCTION.items()}
-    order = sorted(n, key=lambda k: -n[k])
-    lead = n[order[0]] - n[order[1]]
-    return (order[0], lead) if n[order[0]] and lead > 0 else (None, 0)
+def language_words(words: list[str]) -> dict[str, int]:
+    """How many function words of each language there are."""
+    return {k: sum(w in v for w in words) for k, v in _FUNCTION.items()}
+
+
+def language(words: list[str]) -> str | None:
+    """The language by function words; None without evidence or if two are equal."""
+    n = language_words(words)
+    first, second = sorted(n.values(), reverse=True)[:2]
+    return max(n, key=lambda k: n[k]) if first > second else None
 
 
 def mark_language(text: str) -> str | None:
@@ -128,19 +147,31 @@ def mark_language(text: str) -> str | None:
     return best if n[best] >= 2 and n[best] > others else None
 
 
+def common_words(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence, a machine word of places at a time."""
+    at: dict[str, int] = {}
+    for i, w in enumerate(y):
+        at[w] = at.get(w, 0) | (1 << i)
+    full = row = (1 << len(y)) - 1
+    for w in x:
+        u = row & at.get(w, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(y) - row.bit_count()
+
+
 def _echo(q: list[str], a: list[str]) -> float:
     """How much of the answer is the question over and over, 0 to 1."""
-    if len(q) < 2 or len(a) < len(q):
-        return SequenceMatcher(None, q, a, autojunk=False).ratio() if len(q) > 1 else 0.0
-    k = round(len(a) / len(q))
-    return SequenceMatcher(None, q * max(1, k), a, autojunk=False).ratio()
+    if len(q) < 2 or not a:
+        return 0.0
+    times = max(1, round(len(a) / len(q)))
+    return 2 * common_words(a, q * times) / (len(q) * times + len(a))
 
 
 #: The labelling functions by defect, in the order of the votes.
 FUNCTIONS = {
     "empty": ("absent", "wordless", "stand_in"),
     "echo": ("same_words", "nothing_new", "alignment"),
-    "refusal": ("opening", "object", "excuse"),
+    "refusal": ("opening", "object", "excuse", "declining", "aside"),
     "other_language": ("function_words", "letters"),
     "truncated": ("passage", "no_stop", "dangling", "open_quote", "promise"),
 }
@@ -166,43 +197,51 @@ def votes(question: str | None, answer: str | None, passage: str | None) -> dict
     wanted = word_list(m.group(1)) if m else []
     # echo
     if qw:
-        new = sum((Counter(aw) - Counter(qw * (1 + len(aw) // max(1, len(qw))))).values())
         gives = m is not None and aw != qw and aw == wanted
-        # alignment costs; an answer of mostly other words is no echo
-        e = _echo(qw, aw) if new <= 0.25 * len(aw) and len(aw) <= 2000 else 0.0
-        v["echo"] = [
-            1 if any(aw[k:] == qw for k in range(0, 6)) and not gives else -1,
-            1 if new <= 3 and len(aw) >= 0.9 * len(qw) and e > 0.8 and not gives else -1,
-            1 if e >= 0.85 and not gives else -1,
-        ]
+        frame = _FRAME.match(a)
+        best = (False, False, 0.0)
+        for cw in [aw] + ([word_list(a[frame.end() :])] if frame and len(word_list(frame[0])) <= 8 else []):
+            new = sum((Counter(cw) - Counter(qw * (1 + len(cw) // len(qw)))).values())
+            # an answer of mostly other words is no echo
+            e = _echo(qw, cw) if new <= 0.25 * len(cw) else 0.0
+            same = any(cw[k:] == qw for k in range(9))
+            best = max(best, (same, new <= 3 and len(cw) >= 0.9 * len(qw) and e > 0.8, e))
+        v["echo"] = [1 if x and not gives else -1 for x in (best[0], best[1], best[2] >= 0.85)]
     # refusal
     body = a[_SORRY.match(a).end() :] if a[:1] not in "\"'“‘„«" else ""
     first = re.split(r"(?<=[.!?])\s", body, maxsplit=1)[0]
     opens = bool(_REFUSE.match(first)) and not re.search(r"too (?:highly|much)|enough\b|praise", first, re.I)
+    # what others say in the answer, or what the question says already, declines nothing
+    own = _QUOTED.sub(" ", a) if len(aw) <= 40 else ""
+    declines = bool(_DECLINE.search(own)) and not _DECLINE.search(q)
     v["refusal"] = [
-        1 if opens else -1,
-        (1 if _REFUSED.search(first) else 0) if opens else -1,
+        1 if opens else (0 if declines else -1),
+        (1 if _REFUSED.search(first) else 0) if opens or declines else -1,
         1 if opens and _EXCUSE.search(a) else 0,
+        1 if declines else (0 if opens else -1),
+        1 if own and _ASIDE.search(own) and not _ASIDE.search(q) else 0,
     ]
     # language
     allowed = {_ASKED[w] for w in qw if w in _ASKED}
-    ql, _ = language(q)
+    ql = language(qw)
     if ql:
         allowed.add(ql)
-    al, lead = language(a)
-    if allowed and al and len(aw) >= 4:
-        strong = lead >= 2 or len(aw) < 9
-        v["other_language"][0] = -1 if al in allowed else (1 if strong else 0)
-        ml = mark_language(a)
-        v["other_language"][1] = 0 if ml is None else (-1 if ml in allowed else 1)
-        if ml is None and "en" not in allowed and al == "en":
-            v["other_language"][1] = 1
-        if ml is None and al in allowed:
-            v["other_language"][1] = -1
+    if allowed and len(aw) >= 4:
+        # a quotation may be in any language if enough is said around it
+        around = _QUOTED.sub(" ", a)
+        said = a if len(word_list(around)) < 6 else around
+        n = language_words(word_list(said))
+        own_n, other = max(n[k] for k in allowed), max((n[k] for k in n if k not in allowed), default=0)
+        lead = other - own_n
+        ml = mark_language(said)
+        v["other_language"] = [
+            1 if lead >= 2 or (lead == 1 and len(aw) < 9) else (-1 if lead < 0 else 0),
+            (-1 if lead < 0 else 1 if lead > 0 and "en" not in allowed and n["en"] == other else 0) if ml is None else (-1 if ml in allowed else 1),
+        ]
     elif allowed:
         v["other_language"] = [-1, 0]
     # truncation
-    ended = bool(_END.search(a))
+    ended = bool(_END.search(a)) and not _DOTS.search(a)
     t = [0] * 5
     pw = word_list(passage) if passage else wanted
     if pw:
@@ -258,6 +297,19 @@ def fit_label_model(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> d
     return dict(zip(keys, post.tolist(), strict=True))
 
 
+def choose_cutoff(posteriors: list[float], truths: list[bool]) -> tuple[float, float, float]:
+    """(least, greatest, F1): the cutoffs of the best F1 on labelled pairs, as a range (least excluded)."""
+    marks = sorted({0.0, *posteriors, 1.0})
+    best = (-1.0, 0.0, 0.0)
+    for low, high in zip(marks, marks[1:], strict=False):
+        hit = sum(t and p >= high for p, t in zip(posteriors, truths, strict=True))
+        wrong = sum(p >= high for p in posteriors) - hit
+        f1 = 2 * hit / max(1, hit + wrong + sum(truths))
+        best = max(best, (f1, high - low, low))
+    f1, size, low = best
+    return low, low + size, f1
+
+
 def _role(c: Column) -> Column:
     low = F.lower(F.trim(c))
     return F.when(low.isin(*USER), "user").when(low.isin(*ASSISTANT), "assistant").otherwise(low)
