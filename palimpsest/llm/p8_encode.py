@@ -3,7 +3,8 @@
 Each Arrow batch is split into pre-tokens; the distinct pre-tokens not met before by this
 worker are merged together in length-bucketed padded numpy matrices: in every round each
 row merges its leftmost pair of minimum rank (found by a hashed pair table) and is
-compacted. Texts are then put together from the cached pieces by one ragged gather.
+compacted. Pre-tokens of more than LONG bytes would move too much in each round; their
+pairs lie in a heap by rank and place, which merges the same pairs in the same order. Texts are then put together from the cached pieces by one ragged gather.
 
 Null and empty texts give an empty list. No special tokens: their strings are plain text.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import re
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from ..tables import spread, table
 VOCAB_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens a worker remembers; the cache is emptied beyond that.
 CACHE_LIMIT = 400_000
+#: Bytes of a pre-token from which on its pairs are kept in a heap.
+LONG = 1024
 #: The split pattern published with the vocabulary, for the regex module.
 SPLIT_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -120,7 +124,10 @@ class Encoder:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(raw)
         by: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
-            by.setdefault((len(b) - 1).bit_length(), []).append(i)
+            if len(b) > LONG:
+                out[i] = self._long(b)
+            else:
+                by.setdefault((len(b) - 1).bit_length(), []).append(i)
         for bucket, rows in by.items():
             # at most about a million cells in a matrix, whatever the lengths
             step = max(1, (1 << 20) >> bucket)
@@ -130,6 +137,41 @@ class Encoder:
                     out[i] = ids
         return out
 
+    def _long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long byte string: its pairs from a heap, least rank first, then leftmost."""
+        n, ranks, none = len(raw), self.ranks, self.pairs.none
+        ids = self.byte_id[np.frombuffer(raw, np.uint8)]
+        first = self.pairs.rank_of(ids[:-1], ids[1:])
+        heap = [(r, i) for i, r in enumerate(first.tolist()) if r != none]
+        heapify(heap)
+        rank = [*first.tolist(), none]  # of the pair that begins at a place; none where no token begins
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        token = ids.tolist()
+        while heap:
+            r, i = heappop(heap)
+            if rank[i] != r:
+                continue
+            token[i], gone = r, after[i]
+            rank[gone], after[i] = none, after[gone]
+            end = after[i]
+            if end < n:
+                before[end] = i
+                rank[i] = ranks.get(raw[i : after[end]], none)
+                if rank[i] != none:
+                    heappush(heap, (rank[i], i))
+            else:
+                rank[i] = none
+            p = before[i]
+            if p >= 0:
+                rank[p] = ranks.get(raw[p:end], none)
+                if rank[p] != none:
+                    heappush(heap, (rank[p], p))
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = after[i]
+        return np.array(out, np.int32)
+
     def _matrix(self, raw: list[bytes]) -> list[np.ndarray]:
         n, width = len(raw), max(map(len, raw))
         size = np.array([len(b) for b in raw])

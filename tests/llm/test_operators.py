@@ -99,8 +99,11 @@ def test_trees_of_batches_add_up_to_the_whole(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_pretokens_and_ids_round_trip(text):
-    enc = test_pretokens_and_ids_round_trip.__dict__.setdefault("enc", Encoder(open(VOCAB_PATH, "rb").read()))
-    back = test_pretokens_and_ids_round_trip.__dict__.setdefault("back", {r: t for t, r in enc.ranks.items()})
+    kept = test_pretokens_and_ids_round_trip.__dict__
+    if "enc" not in kept:
+        kept["enc"] = Encoder(open(VOCAB_PATH, "rb").read())
+        kept["back"] = {r: t for t, r in kept["enc"].ranks.items()}
+    enc, back = kept["enc"], kept["back"]
     assert "".join(pretokens(text)) == text
     flat, n = enc.encode([text, None, ""])
     assert n.tolist() == [len(flat), 0, 0]
@@ -242,3 +245,25 @@ def test_training_moves_labels_and_unseen_kinds_are_seen(spark):
     for model in (start, trained):
         odd = [Q.odd_share(model, o, np.ones(len(o)))[1:].sum() > 0.5 for o in obs]
         assert odd == [False, True, True]
+
+
+def test_long_runs_are_encoded_like_short_ones():
+    """Pre-tokens without a break: equal to tiktoken, and 200,000 letters in seconds."""
+    import time
+
+    import tiktoken
+
+    from palimpsest.llm.p8_encode import LONG, SPLIT_PATTERN
+
+    enc = Encoder(open(VOCAB_PATH, "rb").read())
+    ref = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=enc.ranks, special_tokens={})
+    r = random.Random(8)
+    for n, letters in ((LONG - 1, "abcdef"), (LONG, "aab"), (LONG + 1, "abcdefghijklmnopqrstuvwxyz"), (5000, "a"), (20_000, "etaoinshr"), (3000, "éà中")):
+        t = "".join(r.choices(letters, k=n))
+        assert enc.encode([t])[0].tolist() == ref.encode_ordinary(t)
+    t = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    at = time.time()
+    ids = enc.encode([t])[0].tolist()
+    assert time.time() - at < 20
+    back = {v: k for k, v in enc.ranks.items()}
+    assert b"".join(back[i] for i in ids) == t.encode()
