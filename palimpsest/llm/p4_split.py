@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import table
+from .words import small_batches
 
 LIMIT, OVERLAP, MOST_OVERLAP = 6000, 200, 300
 #: A boundary of a better kind is preferred down to this share of the limit.
@@ -77,19 +78,17 @@ def split_texts(
 
     def run(batches):
         for whole in batches:
-            # one text at a time, so that memory follows the longest text only
-            for i in range(whole.num_rows):
-                t = whole.column(1)[i].as_py()
-                c = cuts(t, limit, overlap, most)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "k": pa.array([whole.column(0)[i].as_py()] * len(c), pa.int64()),
-                        "piece": pa.array(range(len(c)), pa.int32()),
-                        "start_char": pa.array([x[0] for x in c], pa.int64()),
-                        "end_char": pa.array([x[1] for x in c], pa.int64()),
-                        "cut": [x[2] for x in c],
-                        "piece_text": [t[x[0] : x[1]] for x in c],
-                    }
+            for b in small_batches(whole, 1):
+                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                rows = [
+                    (k, i, x, y, kind, t[x:y])
+                    for k, t in zip(keys, texts, strict=True)
+                    for i, (x, y, kind) in enumerate(cuts(t, limit, overlap, most))
+                ]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                    ["k", "piece", "start_char", "end_char", "cut", "piece_text"],
                 )
 
     src = df.filter(F.length(text) > limit).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -103,10 +102,31 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "docvalue"), "rec_id")
 
 
+def p4_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """rec_id and what its pieces add up to: pieces, characters covered, longest piece and overlap
+    within their limits, every piece equal to its place in the text."""
+    docs = table(spark, folder, "docvalue")
+    pieces = split_texts(docs, "rec_id").withColumn("next", F.col("piece") + 1)
+    after = pieces.select("rec_id", F.col("piece").alias("next"), F.col("start_char").alias("next_start"))
+    both = pieces.join(after, ["rec_id", "next"], "left").join(docs.select("rec_id", "text"), "rec_id")
+    overlap = F.coalesce(F.col("end_char") - F.col("next_start"), F.lit(0))
+    same = F.substring("text", (F.col("start_char") + 1).cast("int"), F.length("piece_text")) == F.col("piece_text")
+    return both.groupBy("rec_id").agg(
+        F.sum(F.length("piece_text") - overlap).alias("covered"),
+        (F.max(F.length("piece_text")) <= LIMIT).alias("within_limit"),
+        ((F.max(overlap) <= MOST_OVERLAP) & (F.min(overlap) >= 0)).alias("within_overlap"),
+        F.bool_and(same).alias("same_text"),
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id of the records that were split."""
     return p4_pieces(spark, folder).filter("piece = 0").select("rec_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
-ORACLE = {"p4_found": "select rec_id from docvalue where length(text) > 6000"}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_checked": p4_checked}
+ORACLE = {
+    "p4_found": "select rec_id from docvalue where length(text) > 6000",
+    "p4_checked": """select rec_id, length(text)::bigint as covered, true as within_limit, true as within_overlap, true as same_text
+    from docvalue where length(text) > 6000""",
+}

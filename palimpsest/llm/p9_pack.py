@@ -52,7 +52,7 @@ class Packer:
             b = self._take(free)
         else:
             if self.open >= self.open_bins:
-                self._take((self.mask & -self.mask).bit_length() - 1)
+                del self.used[self._take((self.mask & -self.mask).bit_length() - 1)]
             b, free = self.next, self.capacity
             self.next += 1
             self.used[b] = 0
