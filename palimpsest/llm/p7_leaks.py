@@ -6,13 +6,15 @@ A window's SimHash is the sign of the summed bits of its words and word pairs. T
 fingerprints lie in a multi-index of BLOCKS blocks: two fingerprints within RADIUS bits
 (fewer than BLOCKS) agree in a block, and two within NEAR_RADIUS differ in some block by a
 BLOCKS-th of that at most, so each item window stands under all such values of its blocks
-and looking up each block finds all of them. The candidates are verified exactly by the weighted similarity of their shingles (words and
-word pairs, weighted by rarity among the items); similarity 1 with equal word order is a
-leak in the problem's sense.
+and looking up each block finds all of them. All candidates are verified exactly by the
+weighted similarity of their shingles (words and word pairs, weighted by rarity among the
+items); similarity 1 with equal word order, which is checked last, is a leak in the problem's
+sense.
 
 The weight of words and word pairs that no item has bounds the similarity a window can
-reach; windows with too much of it get no fingerprint. The query set is fixed: items are collected only up to
-ITEM_BLOCK windows at a time, and more items are looked for in further blocks.
+reach; windows with too much of it get no fingerprint. The query set is fixed: it is broadcast
+in blocks of ITEM_BLOCK windows, SCAN_BLOCKS of which share a scan of the texts; more items
+take further scans. A worker builds the index of a block once.
 
 Null and empty items and texts leak nothing. An item repeated under another id leaks by both.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ NEAR_RADIUS = 19
 #: Item windows that are broadcast at a time (about 200 bytes each), and where edited windows
 #: are asked for (about 40 KB each, in the multi-index).
 ITEM_BLOCK, NEAR_BLOCK = 50_000, 5_000
+#: Blocks that share a scan of the texts; with edited windows each has a scan of its own.
+SCAN_BLOCKS = 8
 #: So few item windows of a width are compared with every text window instead of looked up.
 FEW = 128
 
@@ -187,60 +192,37 @@ def leaks(
         blocks[-1].append((i, w))
         room -= len(w)
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter("t is not null")
-    parts = [_search(spark, src, b, width, least) for b in blocks]
+    some = SCAN_BLOCKS if least >= 1 else 1
+    parts = [_search(spark, src, blocks[k : k + some], width, least) for k in range(0, len(blocks), some)]
     return reduce(DataFrame.unionByName, parts).select(
         F.col("k").alias(key), F.col("i").alias(item_key), "similarity"
     )
 
 
-def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least: float) -> DataFrame:
-    shared = spark.sparkContext.broadcast(items)
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def _index(name: str, items, width: int, least: float) -> ItemIndex:
+    """The index of a broadcast block of items, built once a worker."""
+    if name not in _BUILT:
+        if len(_BUILT) >= (SCAN_BLOCKS if least >= 1 else 1):
+            _BUILT.clear()
+        _BUILT[name] = ItemIndex(items.value, width, least)
+    return _BUILT[name]
+
+
+def _search(spark: SparkSession, src: DataFrame, blocks: list[list], width: int, least: float) -> DataFrame:
+    shared = [(uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks]
 
     def run(batches):
-        index = ItemIndex(shared.value, width, least)
         for whole in batches:
             for b in small_batches(whole, 1, 2_000_000):
                 keys = np.asarray(b.column(0))
                 ws = [words(t) for t in b.column(1).to_pylist()]
                 h, counts = word_hashes(ws)
-                if not len(index.vocab) or not len(h):
-                    continue
-                at = np.minimum(np.searchsorted(index.vocab, h), len(index.vocab) - 1)
-                known = np.concatenate([[0], np.cumsum(index.vocab[at] == h)])
-                reach = index.reach(h) if least < 1 else ()
-                doc = np.repeat(np.arange(len(ws)), counts)
-                ends = np.cumsum(counts)
                 found: dict[tuple[int, int], float] = {}
-                for k, (ids, item_words, _, _) in index.widths.items():
-                    if len(h) < k:
-                        continue
-                    s = np.arange(len(h) - k + 1)
-                    ok = s + k <= ends[doc[s]]
-                    if least >= 1:
-                        ok &= known[s + k] - known[s] >= k
-                    else:
-                        kw, aw, kp, ap = reach
-                        some = kw[s + k] - kw[s] + kp[s + k - 1] - kp[s]
-                        ok &= some >= least * (aw[s + k] - aw[s] + ap[s + k - 1] - ap[s]) - 1e-6
-                    s = s[ok]
-                    for x, y in index.near(_window_prints(h, s, k), k):
-                        text_words = h[s[x, None] + np.arange(k)]
-                        same = (text_words == item_words[y]).all(1)
-                        for d, i in np.unique(np.stack([doc[s[x[same]]], ids[y[same]]], 1), axis=0).tolist():
-                            found[(d, i)] = 1.0
-                        if least >= 1:
-                            continue
-                        close = ~same
-                        close[close] = index.may_reach(text_words[close], y[close], k, least)
-                        for a, c in zip(s[x[close]].tolist(), y[close].tolist(), strict=True):
-                            d, i = int(doc[a]), int(ids[c])
-                            if found.get((d, i)) == 1.0:
-                                continue
-                            begin = int(ends[d] - counts[d])
-                            text = tuple(ws[d][a - begin : a - begin + k])
-                            v = similarity(text, tuple(index.windows[k][c]), index.weight)
-                            if v >= least and v > found.get((d, i), 0):
-                                found[(d, i)] = v
+                for name, items in shared if len(h) else ():
+                    _find(_index(name, items, width, least), ws, h, counts, least, found)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[[d for d, _ in found]] if found else [], pa.int64()),
@@ -253,6 +235,41 @@ def _search(spark: SparkSession, src: DataFrame, items: list, width: int, least:
     return src.mapInArrow(run, "k long, i long, similarity double")
 
 
+def _find(index: ItemIndex, ws: list, h: np.ndarray, counts: np.ndarray, least: float, found: dict) -> None:
+    """Enter (text, item) -> the best similarity of their windows into `found`."""
+    if not len(index.vocab):
+        return
+    at = np.minimum(np.searchsorted(index.vocab, h), len(index.vocab) - 1)
+    known = np.concatenate([[0], np.cumsum(index.vocab[at] == h)])
+    reach = index.reach(h) if least < 1 else ()
+    doc = np.repeat(np.arange(len(ws)), counts)
+    ends = np.cumsum(counts)
+    for k, (ids, item_words, _, _) in index.widths.items():
+        if len(h) < k:
+            continue
+        s = np.arange(len(h) - k + 1)
+        ok = s + k <= ends[doc[s]]
+        if least >= 1:
+            ok &= known[s + k] - known[s] >= k
+        else:
+            kw, aw, kp, ap = reach
+            some = kw[s + k] - kw[s] + kp[s + k - 1] - kp[s]
+            ok &= some >= least * (aw[s + k] - aw[s] + ap[s + k - 1] - ap[s]) - 1e-6
+        s = s[ok]
+        for x, y in index.near(_window_prints(h, s, k), k):
+            text_words = h[s[x, None] + np.arange(k)]
+            same = (text_words == item_words[y]).all(1)
+            close = index.may_reach(text_words, y, k, least)
+            for a, c, order in zip(s[x[close]].tolist(), y[close].tolist(), same[close].tolist(), strict=True):
+                d, i = int(doc[a]), int(ids[c])
+                if found.get((d, i)) == 1.0:
+                    continue
+                begin = int(ends[d] - counts[d])
+                v = similarity(tuple(ws[d][a - begin : a - begin + k]), tuple(index.windows[k][c]), index.weight)
+                if v >= least - 1e-9 and (order or least < 1) and v > found.get((d, i), 0):
+                    found[(d, i)] = 1.0 if order else v
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id, item_id, similarity of every text with a window like an item's (0.8 or more)."""
     return leaks(spread(table(spark, folder, "docvalue").select("rec_id", "text")), "rec_id", table(spark, folder, "copa"), "item_id", least=0.8)

@@ -267,3 +267,19 @@ def test_long_runs_are_encoded_like_short_ones():
     assert time.time() - at < 20
     back = {v: k for k, v in enc.ranks.items()}
     assert b"".join(back[i] for i in ids) == t.encode()
+
+
+@pytest.mark.parametrize("least", [1.0, 0.8])
+def test_blocks_of_items_share_scans(spark, monkeypatch, least):
+    from palimpsest.llm import p7_leaks as L
+
+    r = random.Random(12)
+    items = [(i, [f"w{i}x{k}" for k in range(12)]) for i in range(20)]
+    docs = [(i, " ".join(["so", *w[2:11], "then", *items[(i + 7) % 20][1]])) for i, w in items] + [(99, None), (98, "")]
+    d = spark.createDataFrame(docs, "rec_id long, text string")
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(77, None)], "item_id long, query string")
+    want = sorted(tuple(x) for x in leaks(d, "rec_id", q, "item_id", least=least).collect())
+    assert {(a, b) for a, b, _ in want} >= {(i, j) for i in range(20) for j in (i, (i + 7) % 20)} and r
+    for name, n in (("ITEM_BLOCK", 30), ("NEAR_BLOCK", 60), ("SCAN_BLOCKS", 3)):
+        monkeypatch.setattr(L, name, n)
+    assert sorted(tuple(x) for x in leaks(d, "rec_id", q, "item_id", least=least).collect()) == want
