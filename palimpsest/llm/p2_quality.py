@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
 from ..tables import spread, table
 from .hmm import LineHmm
 from .p6_pairs import FUNCTION_WORDS
@@ -247,11 +248,10 @@ def start_model() -> LineHmm:
     return LineHmm([np.array(START[k]) for k in NAMES], move)
 
 
-def odd_share(model: LineHmm, obs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Share of a text's characters by state."""
-    if not len(obs):
-        return np.zeros(len(STATES))
-    return np.bincount(model.label(obs), sizes, len(STATES)) / max(1, sizes.sum())
+def odd_shares(model: LineHmm, obs: list[np.ndarray], sizes: list[np.ndarray]) -> list[np.ndarray]:
+    """Share of each text's characters by state."""
+    labels = model.label_all(obs)
+    return [np.bincount(s, n, len(STATES)) / max(1, n.sum()) for s, n in zip(labels, sizes, strict=True)]
 
 
 def known_words(vocab: DataFrame, least: int = KNOWN_CNT) -> WordSet:
@@ -263,11 +263,14 @@ def known_words(vocab: DataFrame, least: int = KNOWN_CNT) -> WordSet:
     return WordSet(h)
 
 
-def fit(docs: DataFrame, key: str, text: str, known, texts: int = TRAIN_TEXTS) -> LineHmm:
-    """The model, trained on the lines of about `texts` texts chosen by a hash of the key."""
-    n = docs.count()
-    share = max(1, -(-n // texts))
-    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).alias("t"))
+def sample_of(docs: DataFrame, key: str, text: str, texts: int = TRAIN_TEXTS) -> DataFrame:
+    """(t): about `texts` texts, chosen by a hash of the key; staged, as they are read more than once."""
+    share = max(1, -(-docs.count() // texts))
+    return staged(docs.filter(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).alias("t")), "train-texts")
+
+
+def fit(sample: DataFrame, known) -> LineHmm:
+    """The model, trained on the lines of the texts of a sample (t)."""
 
     def run(batches):
         lines = Lines(known.value)
@@ -292,7 +295,7 @@ def text_statistics(docs: DataFrame, key: str, vocab: DataFrame, text: str = "te
     """(key, statistics, label shares, natural, the columns of `carry` as doubles): one row for each row of docs."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(known_words(vocab))
-    model = spark.sparkContext.broadcast(fit(docs, key, text, known))
+    model = spark.sparkContext.broadcast(fit(sample_of(docs, key, text), known))
 
     def run(batches):
         lines, m = Lines(known.value), model.value
@@ -301,8 +304,7 @@ def text_statistics(docs: DataFrame, key: str, vocab: DataFrame, text: str = "te
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 obs, sizes, stats = lines.observe(texts)
                 rows = []
-                for t, o, n, s in zip(texts, obs, sizes, stats, strict=True):
-                    by = odd_share(m, o, n)
+                for t, o, by, s in zip(texts, obs, odd_shares(m, obs, sizes), stats, strict=True):
                     odd = float(by[1:].sum())
                     rows.append((len(t), len(o), *s.values(), *map(float, by), not (len(t) >= MIN_CHARS and odd > 0.5)))
                 cols = list(zip(*rows, strict=True))

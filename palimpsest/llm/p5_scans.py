@@ -1,16 +1,25 @@
 """Problem 5: repairing text from scanned pages into continuous paragraphs.
 
 Every line is observed by its layout (blank, page mark, number, capitals, text), by whether
-the text before it stops and how the text after it begins, and by whether a number goes on
-a count of stanzas. A hidden Markov model with the states body, header and break labels the
-lines; it starts from the tables below and is trained by Viterbi training on the lines of
-about TRAIN_TEXTS texts, chosen by a hash of their id. Headers are dropped, words broken at
-a line's end are joined (also across a dropped header), wrapped lines become paragraphs,
-and misread letters are put right where that makes a known word, or where a sign stands
-between letters.
-
-Only texts with evidence (a broken word, a misread letter inside a word, a header amid the
-text) are changed; others come back as they are. Null and blank texts have no evidence.
+the text before it stops and how the text after it begins, by whether a number goes on a
+count of stanzas, by how the line ends (a stop, a broken word), by its length and by its rate
+of misread words. A hidden Markov model labels every line of every text:
+
+- body: prose, which goes on with the body line after it,
+- verse: a line that stands by itself (verse, dialogue, headings),
+- header: a running head or page number amid the text, which is dropped,
+- break: blank lines between paragraphs,
+- gap: blank lines within a sentence, around a header or between wrapped lines.
+
+The model starts from the tables below and is trained by Viterbi training on the lines of
+about TRAIN_TEXTS texts, chosen by a hash of their id; the tables weigh as PRIOR lines. The
+labels decide what is joined: broken words and wrapped lines of body and verse, across
+dropped headers and gaps too. Misread letters in such lines are put right where that makes a
+known word, or where a sign stands between letters.
+
+Only texts with evidence in the labelled lines (a broken word, a misread letter inside a word,
+a header amid the text) are changed; others come back as they are. Null and blank texts have
+no evidence.
 """
 
 from __future__ import annotations
@@ -25,39 +34,46 @@ from pyspark.sql import functions as F
 from ..tables import spread, table
 from . import p2_quality as quality
 from .hmm import LineHmm
-from .words import small_batches
+from .words import WordSet, small_batches
 
-STATES = ("body", "header", "break")
-TRAIN_TEXTS, PRIOR = 2000, 4000.0
+STATES = ("body", "verse", "header", "break", "gap")
+BODY, VERSE, HEADER, BREAK, GAP = range(5)
+TRAIN_TEXTS, PRIOR = 2000, 20_000.0
 # Tables of the untrained model: probability of each value of each statistic, by state.
 START = {
     # layout: blank, text, page mark, number alone, capitals, other
     "layout": (
-        (0.003, 0.940, 0.002, 0.020, 0.030, 0.005),
-        (0.003, 0.030, 0.650, 0.060, 0.250, 0.007),
-        (0.985, 0.003, 0.003, 0.003, 0.003, 0.003),
+        (0.003, 0.955, 0.002, 0.010, 0.025, 0.005), (0.003, 0.900, 0.002, 0.030, 0.060, 0.005), (0.003, 0.030, 0.650, 0.060, 0.250, 0.007),
+        (0.985, 0.003, 0.003, 0.003, 0.003, 0.003), (0.985, 0.003, 0.003, 0.003, 0.003, 0.003),
     ),
     # text before: none, stops, does not stop
-    "before": ((0.10, 0.40, 0.50), (0.02, 0.28, 0.70), (0.10, 0.60, 0.30)),
+    "before": ((0.10, 0.35, 0.55), (0.10, 0.50, 0.40), (0.02, 0.28, 0.70), (0.10, 0.75, 0.15), (0.01, 0.04, 0.95)),
     # text after: none, begins small, begins otherwise
-    "after": ((0.10, 0.40, 0.50), (0.02, 0.60, 0.38), (0.10, 0.20, 0.70)),
+    "after": ((0.12, 0.55, 0.33), (0.12, 0.08, 0.80), (0.02, 0.60, 0.38), (0.10, 0.08, 0.82), (0.01, 0.94, 0.05)),
     # a number that goes on a count: no, yes
-    "count": ((0.90, 0.10), (0.995, 0.005), (0.99, 0.01)),
+    "count": ((0.95, 0.05), (0.85, 0.15), (0.995, 0.005), (0.99, 0.01), (0.99, 0.01)),
+    # the line's own end: no text, a stop, a broken word, otherwise
+    "end": ((0.04, 0.22, 0.12, 0.62), (0.09, 0.50, 0.01, 0.40), (0.90, 0.05, 0.01, 0.04), (0.97, 0.01, 0.01, 0.01), (0.97, 0.01, 0.01, 0.01)),
+    # length: under 25 characters, 50, 90, longer
+    "length": ((0.06, 0.24, 0.50, 0.20), (0.18, 0.50, 0.27, 0.05), (0.55, 0.35, 0.09, 0.01), (0.97, 0.01, 0.01, 0.01), (0.97, 0.01, 0.01, 0.01)),
+    # misread words: none, one, more
+    "misread": ((0.90, 0.07, 0.03), (0.94, 0.04, 0.02), (0.96, 0.03, 0.01), (0.98, 0.01, 0.01), (0.98, 0.01, 0.01)),
 }
-MOVE = ((0.70, 0.06, 0.24), (0.45, 0.10, 0.45), (0.75, 0.10, 0.15))
+MOVE = (
+    (0.75, 0.02, 0.05, 0.16, 0.02), (0.03, 0.72, 0.03, 0.21, 0.01), (0.42, 0.04, 0.10, 0.22, 0.22),
+    (0.52, 0.28, 0.05, 0.13, 0.02), (0.62, 0.04, 0.20, 0.01, 0.13),
+)
 
 # Hyphens that break words at line ends.
 HYPHENS = "-¬‐­="
-#: A word of at most 60 letters on either side, so that no run of letters is scanned twice.
-_BROKEN = re.compile(rf"(?<![^\W\d_])([^\W\d_]{{1,60}})[{HYPHENS}][ \t]*\n\s*([^\W\d_]{{1,60}})")
-_LINE_END = re.compile(rf"[{HYPHENS}][ \t]*\n")
-_PAGE = re.compile(
-    r"^\s*(?:[\[({*—–-]+\s*(?:p(?:age|g)?\.?\s*)?[\dOolIivxcSZB]{1,6}\s*[\])}*—–-]+|\d[\dOolI]{0,3}\*+)\s*$|"
-    r"^\s*\x0c|^\s*(?:\[Pg\.? ?\w+\]|[Pp]\. ?[\dOolI]{1,4} [^a-z]+$)|^(?!.*[a-z]{4})\s*[^a-z\n]*[A-Z0]{3}[^a-z\n]*[^\s]\s{2,}[\dOolIivxcSZ]{1,8}\s*$|"
-    r"^\s*[\dOolI]{1,4}\s{2,}[^a-z\n]*[A-Z]{3}[^a-z\n]*$"
+_MARK = re.compile(
+    r"^\s*(?:[\[({*—–-]+\s*(?:[Pp](?:age|g)?\.?\s*)?[\dOolIivxcSZB]{1,6}\s*[\])}*—–-]+|\d[\dOolI]{0,3}\*+)\s*$|"
+    r"^\s*\x0c|^\s*(?:\[Pg\.? ?\w+\]|[Pp]\. ?[\dOolI]{1,4} [^a-z]+$)"
 )
+_NUMBER_LAST = re.compile(r"\s\s[\dOolIivxcSZ]{1,8}\s*$")
+_NUMBER_FIRST = re.compile(r"^\s*[\dOolI]{1,4}\s{2,}")
+_SMALL_LETTER, _THREE_CAPITALS = re.compile("[a-z]"), re.compile("[A-ZÀ-Þ0]{3}")
 _NUMBER = re.compile(r"^\s*(?:(\d{1,4})|([IVXLC]{1,7}))\.?\s*$")
-_CAPITALS = re.compile(r"^[^a-z\n]*[A-ZÀ-Þ]{3}[^a-z\n]*$")
 _STOPS = frozenset(".!?:;…")
 # Signs and figures read for letters.
 SIGNS = {
@@ -81,169 +97,200 @@ _JUNK = re.compile(r"(?:(?<=\s)|^)[|¬■_\\~•^·]{1,2}(?:(?=\s)|$) ?")
 _SPACED = re.compile(r"(?<=\w) +(?=[,;.:!?](?:\s|$))")
 
 
+def page_mark(line: str) -> bool:
+    """Whether a line is a page number in marks, or a head in capitals with a page number."""
+    if _MARK.match(line):
+        return True
+    if m := _NUMBER_LAST.search(line):
+        head = line[: m.start()].rstrip()
+        if head and not _SMALL_LETTER.search(head[:-1]) and _THREE_CAPITALS.search(head):
+            return True
+    if m := _NUMBER_FIRST.match(line):
+        rest = line[m.end() :]
+        return not _SMALL_LETTER.search(rest) and _THREE_CAPITALS.search(rest) is not None
+    return False
+
+
+def broken_end(line: str) -> str | None:
+    """The letters before a hyphen at a line's end; None without such."""
+    line = line.rstrip()
+    if not line or line[-1] not in HYPHENS:
+        return None
+    k = len(line) - 1
+    while k and line[k - 1].isalpha():
+        k -= 1
+    return line[k:-1] or None
+
+
+_WORD_FIRST = re.compile(r"\s*([^\W\d_]+)")
+
+
 class Scans:
-    """Observation, evidence and repair; holds the vocabulary and the memory of words."""
+    """Observation, evidence and repair; holds the vocabulary, its words' beginnings and the memory of words."""
 
-    def __init__(self, known: frozenset[str]):
-        self.known = known
-        self.memo: dict[str, str | None] = {}
-        self.tokens: dict[str, bool] = {}
+    def __init__(self, known: WordSet | frozenset[str], beginnings: WordSet | frozenset[str]):
+        self.known, self.beginnings = known, beginnings
+        self.memo: dict[tuple[str, bool], str | None] = {}
+        self.tokens: dict[str, int] = {}
 
     # -- words
 
-    def _plain(self, low: str) -> str | None:
-        """The known word that an unknown one was misread from, by at most two letter groups."""
-        if low in self.known:
-            return None
-        seen = {low}
-        for _ in range(2):
-            step = set()
-            for w in seen:
-                for a, b in CONFUSED:
-                    k = w.find(a)
-                    while k >= 0:
-                        step.add(w[:k] + b + w[k + len(a) :])
-                        k = w.find(a, k + 1)
-            hit = sorted(w for w in step if w in self.known and len(w) > 2)
-            if hit:
-                return hit[0]
-            seen = step
-        return None
+    def _reading(self, low: str, signs: bool) -> str | None:
+        """The known word that a token stands for, by signs read for letters and at most two
+        confused groups of letters: the one with the fewest groups, then the first.
+
+        The search follows only beginnings of known words, so it needs no bound on alternatives.
+        """
+        best: tuple[int, str] | None = None
+        todo = [(0, "", 0)]
+        while todo:
+            at, made, groups = todo.pop()
+            if at == len(low):
+                if len(made) > 2 and made != low and made in self.known and (best is None or (groups, made) < best):
+                    best = (groups, made)
+                continue
+            c = low[at]
+            steps = [(at + 1, made + c, groups)]
+            if signs and c in SIGNS and c != "ß":
+                steps = [(at + 1, made + a, groups) for a in (("l", "i") if c in "1|" else (SIGNS[c],))]
+            if groups < 2:
+                steps += [(at + len(a), made + b, groups + 1) for a, b in CONFUSED if low.startswith(a, at)]
+            todo += [x for x in steps if x[1] in self.beginnings]
+        return best[1] if best else None
+
+    def _remembered(self, low: str, signs: bool) -> str | None:
+        key = (low, signs)
+        if key not in self.memo:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            self.memo[key] = self._reading(low, signs)
+        return self.memo[key]
 
     def meant(self, word: str) -> str | None:
         """What a word without signs was misread from; None where it may be right."""
         low = word.lower()
-        if low not in self.memo:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            self.memo[low] = self._plain(low) if len(low) > 2 and _SUSPECT.search(low) else None
-        return self.memo[low]
+        if len(low) < 3 or not _SUSPECT.search(low) or low in self.known:
+            return None
+        return self._remembered(low, False)
 
-    def _tokens_misread(self, text: str) -> int:
-        """Number of different tokens between blanks that hold a misread word."""
+    def unsigned(self, token: str) -> str | None:
+        """A token with signs or figures among its letters put right, if that makes a known word."""
+        low = token.lower()
+        return self._remembered(low, True) if sum(c.isalpha() for c in low) >= 2 or len(low) == 2 else None
+
+    def misread(self, line: str) -> int:
+        """Number of misread words and signs inside words of a line; a token counts once."""
         memo, n = self.tokens, 0
-        for t in set(text.split()):
+        for t in line.split():
             r = memo.get(t)
             if r is None:
                 if len(memo) > 500_000:
                     memo.clear()
-                r = memo[t] = _SUSPECT.search(t.lower()) is not None and any(
-                    self.meant(w) is not None for w in _WORD.findall(t)
-                )
+                r = len(_INSIDE.findall(t)) + len(_LIGATURES.findall(t))
+                if not r and _MEET.search(t):
+                    r = sum(self.unsigned(x) is not None for x in _MIXED.findall(t) if _MEET.search(x))
+                if not r and _SUSPECT.search(t.lower()):
+                    r = sum(self.meant(w) is not None for w in _WORD.findall(t))
+                memo[t] = r
             n += r
         return n
 
-    def unsigned(self, token: str) -> str | None:
-        """A token with signs or figures among its letters put right, if that makes a known word."""
-        low = token.lower()
-        if low in self.memo:
-            return self.memo[low]
-        out = None
-        options = [""]
-        for c in low:
-            alt = [SIGNS[c]] if c in SIGNS and c != "ß" else [c]
-            if c == "1" or c == "|":
-                alt = ["l", "i"]
-            options = [o + a for o in options[:8] for a in alt]
-        if sum(c.isalpha() for c in low) >= 2 or len(low) == 2:
-            for o in options:
-                if o in self.known and o != low and len(o) > 2:
-                    out = o
-                    break
-                fixed = self._plain(o) if _SUSPECT.search(o) else None
-                if fixed:
-                    out = fixed
-                    break
-        self.memo[low] = out
-        return out
-
-    def compound(self, left: str, right: str) -> bool:
-        """Whether a line's end fell on the hyphen of a compound."""
-        a, b = left.lower(), right.lower()
-        return f"{a}-{b}" in self.known and a + b not in self.known
+    def joins(self, left: str | None, line: str) -> str | None:
+        """What comes of a word broken before a line: '' for joined, '-' for a compound, None for no broken word."""
+        m = _WORD_FIRST.match(line) if left else None
+        if not m:
+            return None
+        a, b = left.lower(), m[1].lower()
+        if f"{a}-{b}" in self.known and a + b not in self.known:
+            return "-"
+        return "" if m[1][0].islower() or left.isupper() else None
 
     # -- lines
 
-    def observe(self, lines: list[str]) -> np.ndarray:
-        """Observations (lines, 4)."""
+    def observe(self, lines: list[str]) -> tuple[np.ndarray, list[int]]:
+        """(observations (lines, 7), misread words of each line)."""
         n = len(lines)
-        o = np.zeros((n, 4), np.int8)
-        kinds = []
+        o = np.zeros((n, len(START)), np.int8)
+        kinds, wrong = [], []
         expected = {"d": 1, "r": 1}
         for i, line in enumerate(lines):
-            if line[:1] not in "\x0c[Pp" and _SMALL.search(line):
-                k = 1
-            elif not line.strip():
+            if not line.strip():
                 k = 0 if "\x0c" not in line else 2
-            elif len(line) <= 120 and _PAGE.match(line):
+            elif page_mark(line):
                 k = 2
+            elif _SMALL.search(line):
+                k = 1
             elif m := _NUMBER.match(line):
                 k = 3
                 kind, v = ("d", int(m.group(1))) if m.group(1) else ("r", _roman(m.group(2)))
                 if v == 1 or v == expected[kind]:
                     o[i, 3], expected[kind] = 1, v + 1
-            elif len(line) <= 64 and _CAPITALS.match(line):
-                k = 4
+            elif len(line) < 90 and not _SMALL_LETTER.search(line) and _THREE_CAPITALS.search(line):
+                k = 4  # a full line in capitals is text
             elif any(c.isalpha() for c in line):
                 k = 1
             else:
                 k = 5
             kinds.append(k)
+            wrong.append(self.misread(line) if k in (1, 4) else 0)
+            if k == 1:
+                o[i, 5] = (len(line) >= 25) + (len(line) >= 50) + (len(line) >= 90)
         o[:, 0] = kinds
-        stop = 0
+        o[:, 6] = np.minimum(wrong, 2)
+        stop, left = 0, None
         for i, line in enumerate(lines):
             o[i, 1] = stop
             if kinds[i] == 1:
                 stop = 1 if line.rstrip(" \t\r\"'”’»“)]_")[-1:] in _STOPS else 2
-        begin = 0
+                o[i, 4] = 1 if stop == 1 else 3
+        begin, below = 0, ""
         for i in range(n - 1, -1, -1):
             o[i, 2] = begin
             if kinds[i] == 1:
+                if self.joins(broken_end(lines[i]), below) is not None:
+                    o[i, 4] = 2
                 c = lines[i].lstrip()[:1]
-                begin = 1 if c.islower() or c in ",;." else 2
-        return o
-
-    def evidence(self, text: str, labels: np.ndarray, kinds: np.ndarray, lines: list[str]) -> tuple[int, int, int]:
-        """(broken words, misread letters, headers amid the text)."""
-        body = [l for l, s in zip(lines, labels, strict=True) if s != 1]
-        joined = "\n".join(body)
-        broken = 0
-        if _LINE_END.search(joined):
-            broken = sum(not self.compound(a, b) for a, b in _BROKEN.findall(joined) if b[0].islower() or a.isupper())
-        misread = len(_INSIDE.findall(text)) + len(_LIGATURES.findall(text))
-        if not misread and _MEET.search(text):
-            misread = sum(self.unsigned(t) is not None for t in _MIXED.findall(text) if _MEET.search(t))
-        if not misread:
-            misread = self._tokens_misread(text)
-        text_at = np.flatnonzero((labels == 0) & (kinds == 1))
-        heads = 0
-        if len(text_at):
-            # capitals alone may be a speaker or a quotation; a page mark is proof
-            at = np.flatnonzero((labels == 1) & (kinds == 2))
-            heads = int(((at > text_at[0]) & (at < text_at[-1])).sum())
-        return broken, misread, heads
+                begin, below = (1 if c.islower() or c in ",;." else 2), lines[i]
+        return o, wrong
+
+    def evidence(self, obs: np.ndarray, labels: np.ndarray, wrong: list[int], lines: list[str]) -> tuple[int, int, int]:
+        """(broken words, misread words, headers amid the text) by the labels of the lines."""
+        said = (labels == BODY) | (labels == VERSE)
+        text_at = np.flatnonzero(said & np.isin(obs[:, 0], (1, 4)))
+        if not len(text_at):
+            return 0, 0, 0
+        broken, left = 0, None
+        for i in text_at.tolist():
+            broken += self.joins(left, lines[i]) == ""
+            left = broken_end(lines[i])
+        misread = int(np.asarray(wrong)[said].sum())
+        # a page mark is proof; numbers and capitals alone are it where they interrupt a sentence
+        proof = (obs[:, 0] == 2) | ((obs[:, 0] > 2) & (obs[:, 1] == 2) & (obs[:, 2] == 1))
+        at = np.flatnonzero((labels == HEADER) & proof)
+        return broken, misread, int(((at > text_at[0]) & (at < text_at[-1])).sum())
 
     def repair(self, lines: list[str], labels: np.ndarray) -> str:
-        """Paragraphs of the body lines."""
-        paged = any(s == 1 and _PAGE.match(l) for l, s in zip(lines, labels, strict=True))
-        body = [("" if s == 2 else l.rstrip()) for l, s in zip(lines, labels, strict=True) if s != 1 or not paged]
-        # a header's blank lines stand within a sentence
-        text = "\n".join(body)
-        text = re.sub(r"(?<![.!?:;…\"”’»\n])\n\s*\n(?=\s*[a-zà-ÿ,;])", "\n", text)
-        text = _BROKEN.sub(
-            lambda m: f"{m[1]}-{m[2]}" if self.compound(m[1], m[2]) else (m[1] + m[2] if m[2][0].islower() or m[1].isupper() else m[0]),
-            text,
-        )
+        """Paragraphs of the text lines, joined as their labels say."""
+        paged = any(s == HEADER and page_mark(l) for l, s in zip(lines, labels, strict=True))
+        paragraphs: list[str] = []
+        now, left, last = "", None, BREAK
+        for line, s in zip(lines, labels.tolist(), strict=True):
+            line = line.strip()
+            if s in (GAP, HEADER) and (paged or not line):
+                continue
+            if not line:
+                paragraphs.append(now)
+                now, left, last = "", None, BREAK
+                continue
+            how = self.joins(left, line)
+            if how is None or not now:
+                now += (" " if last == BODY and s == BODY else "\n") * bool(now) + line
+            else:
+                now = now[:-1] + how + line
+            left, last = broken_end(line), s
+        text = "\n\n".join(p for p in [*paragraphs, now] if p)
         text = _SPACED.sub("", text)
         text = _JUNK.sub("", text)
-        paragraphs = []
-        for p in re.split(r"\n\s*\n", text):
-            ls = [l.strip() for l in p.split("\n") if l.strip()]
-            starts = sum(l[:1].isupper() or not l[:1].isalpha() for l in ls[1:])
-            # verse and dialogue begin their lines with capitals; wrapped prose does not
-            wrapped = starts <= 0.6 * (len(ls) - 1) or (len(ls) == 2 and len(ls[0]) > 40)
-            paragraphs.append((" " if wrapped else "\n").join(ls))
-        text = "\n\n".join(p for p in paragraphs if p)
         text = _MIXED.sub(lambda m: _cased(m[0], self.unsigned(m[0])) if _MEET.search(m[0]) else m[0], text)
         text = _INSIDE.sub(lambda m: SIGNS.get(m[0], m[0]), text)
         text = _LIGATURES.sub(lambda m: SIGNS[m[0]], text)
@@ -270,15 +317,27 @@ def start_model() -> LineHmm:
     return LineHmm([np.array(v) for v in START.values()], np.array(MOVE))
 
 
-def fit(docs: DataFrame, key: str, text: str, known, texts: int = TRAIN_TEXTS) -> LineHmm:
-    """The model, trained on the lines of about `texts` texts chosen by a hash of the key."""
-    share = max(1, -(-docs.count() // texts))
-    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).alias("t"))
+def beginnings(vocab: DataFrame, least: int = quality.KNOWN_CNT) -> WordSet:
+    """All beginnings of the vocabulary's words; more than the bound of words are an error."""
+    v = vocab.filter((F.col("cnt") >= least) & (F.col("word") != "__total__") & (F.col("word") != ""))
+    parts = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.xxhash64(F.substring("word", F.lit(1), n))))
+    h = v.select(parts.alias("h")).distinct().limit(quality.MAX_VOCAB + 1).toArrow().column(0).to_numpy()
+    if len(h) > quality.MAX_VOCAB:
+        raise ValueError(f"a vocabulary of more than {quality.MAX_VOCAB} beginnings of words is not broadcast")
+    return WordSet(h)
+
+
+def line_breaks_unified(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").split("\n")
+
+
+def fit(sample: DataFrame, known, begun) -> LineHmm:
+    """The model, trained on the lines of the texts of a sample (t)."""
 
     def run(batches):
-        scans = Scans(known.value)
+        scans = Scans(known.value, begun.value)
         for b in batches:
-            obs = [scans.observe(t.replace("\r\n", "\n").split("\n")) for t in b.column(0).to_pylist() if t]
+            obs = [scans.observe(line_breaks_unified(t))[0] for t in b.column(0).to_pylist() if t]
             yield pa.RecordBatch.from_arrays([pa.array([o.tobytes() for o in obs], pa.binary())], ["o"])
 
     rows = sorted(bytes(r.o) for r in sample.filter("t is not null").mapInArrow(run, "o binary").collect())
@@ -296,25 +355,28 @@ def repair_scans(docs: DataFrame, key: str, vocab: DataFrame, text: str = "text"
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(quality.known_words(vocab))
-    lines_model = spark.sparkContext.broadcast(fit(docs, key, text, known))
-    quality_model = spark.sparkContext.broadcast(quality.fit(docs, key, text, known))
+    begun = spark.sparkContext.broadcast(beginnings(vocab))
+    sample = quality.sample_of(docs, key, text, TRAIN_TEXTS)
+    lines_model = spark.sparkContext.broadcast(fit(sample, known, begun))
+    quality_model = spark.sparkContext.broadcast(quality.fit(sample, known))
 
     def run(batches):
-        scans, judge = Scans(known.value), quality.Lines(known.value)
+        scans, judge = Scans(known.value, begun.value), quality.Lines(known.value)
         model, q = lines_model.value, quality_model.value
         for whole in batches:
             for b in small_batches(whole, 1):
-                keys, rows = b.column(0), []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    t = t.replace("\r\n", "\n")
-                    lines = t.split("\n")
-                    obs = scans.observe(lines)
-                    labels = model.label(obs) if (obs[:, 0] >= 2).any() else np.where(obs[:, 0] == 0, 2, 0)
-                    found = scans.evidence(t, labels, obs[:, 0], lines)
-                    if any(found):
-                        o, n, _ = judge.observe([t])
-                        natural = len(t) < quality.MIN_CHARS or quality.odd_share(q, o[0], n[0])[1:].sum() <= 0.5
-                        rows.append((keys[i].as_py(), *found, bool(natural), scans.repair(lines, labels)))
+                keys, texts = b.column(0), b.column(1).to_pylist()
+                lines = [line_breaks_unified(t) for t in texts]
+                seen = [scans.observe(x) for x in lines]
+                labels = model.label_all([o for o, _ in seen])
+                found = [scans.evidence(o, s, w, x) for (o, w), s, x in zip(seen, labels, lines, strict=True)]
+                at = [i for i, f in enumerate(found) if any(f)]
+                obs, sizes, _ = judge.observe(["\n".join(lines[i]) for i in at])
+                odd = quality.odd_shares(q, obs, sizes)
+                rows = [
+                    (keys[i].as_py(), *found[i], len(texts[i]) < quality.MIN_CHARS or bool(by[1:].sum() <= 0.5), scans.repair(lines[i], labels[i]))
+                    for i, by in zip(at, odd, strict=True)
+                ]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays(

@@ -243,7 +243,7 @@ def test_training_moves_labels_and_unseen_kinds_are_seen(spark):
     trained = start.trained(obs * 40, 100.0)
     assert any(np.abs(np.exp(a) - np.exp(b)).max() > 0.05 for a, b in zip(start.emit, trained.emit, strict=True))
     for model in (start, trained):
-        odd = [Q.odd_share(model, o, np.ones(len(o)))[1:].sum() > 0.5 for o in obs]
+        odd = [by[1:].sum() > 0.5 for by in Q.odd_shares(model, obs, [np.ones(len(o)) for o in obs])]
         assert odd == [False, True, True]
 
 
@@ -283,3 +283,66 @@ def test_blocks_of_items_share_scans(spark, monkeypatch, least):
     for name, n in (("ITEM_BLOCK", 30), ("NEAR_BLOCK", 60), ("SCAN_BLOCKS", 3)):
         monkeypatch.setattr(L, name, n)
     assert sorted(tuple(x) for x in leaks(d, "rec_id", q, "item_id", least=least).collect()) == want
+
+
+def test_labels_of_many_sequences_are_those_of_each():
+    from palimpsest.llm.hmm import LineHmm
+
+    r = np.random.default_rng(4)
+    model = LineHmm([r.random((4, 5)), r.random((4, 3))], r.random((4, 4)))
+    some = [np.stack([r.integers(0, 5, n), r.integers(0, 3, n)], 1).astype(np.int8) for n in (0, 1, 9, 3, 40, 1, 0, 9)]
+    for a, b in zip(model.label_all(some), map(model.label, some), strict=True):
+        assert a.tolist() == b.tolist()
+    assert model.label_all([]) == []
+
+
+def scans(words):
+    from palimpsest.llm.p5_scans import Scans
+
+    return Scans(frozenset(words), frozenset(w[:k] for w in words for k in range(1, len(w) + 1)))
+
+
+def test_readings_of_misread_tokens():
+    s = scans(["millillilli", "modern", "dock", "the", "burn", "bum", "still"])
+    assert s.unsigned("mi11i11i11i") == "millillilli" and s.unsigned("m|||i|||i|||i") is None
+    assert s.unsigned("mi||i||i||i") == "millillilli" and s.unsigned("sti11") == "still"
+    assert s.meant("rnodern") == "modern"
+    assert s.meant("clock") == "dock" and s.meant("burn") is None and s.meant("xyz") is None
+    assert s.unsigned("1|" * 300 + "a") is None
+
+
+@pytest.mark.parametrize("letters", [5, 60, 61, 400])
+def test_broken_words_of_any_length(letters):
+    from palimpsest.llm.p5_scans import broken_end
+
+    s = scans(["well-known"])
+    assert broken_end("so " + "a" * letters + "- ") == "a" * letters and broken_end("so -") is None and broken_end("") is None
+    assert s.joins("a" * letters, "  " + "b" * letters + " c") == ""
+    assert s.joins("well", "known man") == "-" and s.joins(None, "x") is None and s.joins("Anne", "Marie") is None
+
+
+@pytest.mark.parametrize("pad", [3, 200])
+def test_page_marks_of_any_length(pad):
+    from palimpsest.llm.p5_scans import page_mark
+
+    assert page_mark("BOOK " + "X" * pad + ".   xxvi") and page_mark("12   THE " + "LIFE " * pad) and page_mark("- page 12 -") and page_mark("[ 7 ]")
+    assert not page_mark("the " * pad + "end   12") and not page_mark("He counted   12") and not page_mark("- and so -")
+
+
+def test_labels_decide_what_is_joined():
+    """Prose goes on across a gap and a header; verse keeps its lines; all texts are decoded."""
+    from palimpsest.llm import p5_scans as P
+
+    s, m = scans(["harbour"]), P.start_model()
+    text = (
+        "The captain of the har-\nbour praised the kettle, and the miller who stood beside the\nriver counted\n\n"
+        "THE LIFE OF MUSLIN   xxvi\n\nthe sheep of his neighbour before the harvest began.\n\n"
+        "The widow sang of winter,\nAnd the shepherd heard her song,\nAnd the river ran to harbour,\nAnd the night was long."
+    ).split("\n")
+    obs, wrong = s.observe(text)
+    labels = m.label_all([obs])[0]
+    assert s.evidence(obs, labels, wrong, text) == (1, 0, 1)
+    assert s.repair(text, labels).split("\n\n") == [
+        "The captain of the harbour praised the kettle, and the miller who stood beside the river counted the sheep of his neighbour before the harvest began.",
+        "The widow sang of winter,\nAnd the shepherd heard her song,\nAnd the river ran to harbour,\nAnd the night was long.",
+    ]
