@@ -36,8 +36,11 @@ BANDS, ROWS = 48, 4
 RADIUS = 46
 #: Texts of a shard that share a tree.
 BLOCK = 2048
-#: The filter that spares texts without candidates the verification's shingling: one megabyte.
-BLOOM_BITS, BLOOM_SEEDS = 1 << 23, (1, 2, 3)
+#: The filter that spares texts without candidates the verification's shingling has so many
+#: bits for each id; where that is more than BLOOM_MOST bits (8 MB), a semi-join is made instead.
+BLOOM_PER_ID, BLOOM_MOST, BLOOM_SEEDS = 16, 1 << 26, (1, 2, 3)
+#: Bytes of the filter that are put together in one place.
+BLOOM_CHUNK = 1 << 16
 
 
 class BKTree:
@@ -234,41 +237,59 @@ def candidate_pairs(reps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
     return _shard_pairs(rows, radius).distinct()
 
 
-def _bloom(ids: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over a column of ids: BLOOM_BITS, whatever their number."""
+def _bloom(ids: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of `bits` bits over a column of ids, its chunks put together by the executors."""
+    step = min(BLOOM_CHUNK, bits // 8)
 
-    def run(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
+    def mark(batches):
+        seen = np.zeros(bits, bool)
         for b in batches:
             for seed in BLOOM_SEEDS:
-                bits[_bloom_cells(np.asarray(b.column(0)), seed)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    parts = ids.coalesce(8).mapInArrow(run, "bits binary").collect()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in parts:
-        out |= np.frombuffer(bytes(r.bits), np.uint8)
+                seen[_bloom_cells(np.asarray(b.column(0)), seed, bits)] = True
+        packed = np.packbits(seen)
+        some = [k for k in range(0, len(packed), step) if packed[k : k + step].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int64()), pa.array([packed[k : k + step].tobytes() for k in some], pa.binary())], ["at", "bits"]
+        )
+
+    def unite(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts[k] = parts.get(k, np.uint8(0)) | np.frombuffer(x, np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["at", "bits"]
+        )
+
+    schema = "at long, bits binary"
+    out = np.zeros(bits // 8, np.uint8)
+    for r in ids.mapInArrow(mark, schema).repartition("at").mapInArrow(unite, schema).collect():
+        out[r["at"] : r["at"] + step] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out.tobytes()
 
 
-def _bloom_cells(ids: np.ndarray, seed: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) % np.uint64(BLOOM_BITS)).astype(np.int64)
+def _bloom_cells(ids: np.ndarray, seed: int, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)) % np.uint64(bits)).astype(np.int64)
 
 
 def shingle_sets(df: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(id, shingles ARRAY<INT>) of rows (id, t): the distinct shingles, as 32-bit hashes.
 
-    Rows whose id is surely not in wanted (id) are left out; a few others may remain.
+    Rows whose id is surely not in wanted (id) are left out; a few others may remain. The
+    filter grows with the ids up to its bound; beyond, the texts are semi-joined to them.
     """
-    bloom = df.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    bits = max(BLOOM_CHUNK, 1 << (BLOOM_PER_ID * wanted.count()).bit_length())
+    if bits > BLOOM_MOST:
+        df, bits = df.join(wanted.toDF("id").distinct(), "id", "left_semi").select("id", "t"), 0
+    bloom = df.sparkSession.sparkContext.broadcast(_bloom(wanted, bits) if bits else b"")
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
+        seen = np.unpackbits(np.frombuffer(bloom.value, np.uint8)).astype(bool)
         for all_ in batches:
             ids = np.asarray(all_.column(0))
             keep = np.ones(len(ids), bool)
-            for seed in BLOOM_SEEDS:
-                keep &= bits[_bloom_cells(ids, seed)]
+            for seed in BLOOM_SEEDS if bits else ():
+                keep &= seen[_bloom_cells(ids, seed, bits)]
             whole = all_.filter(pa.array(keep))
             for b in small_batches(whole, 1, 2_000_000) if whole.num_rows else ():
                 h, counts = word_hashes([words(t) for t in b.column(1).to_pylist()])

@@ -2,22 +2,24 @@
 
 Scores are coded as order-preserving 64-bit integers. A dyadic count tree holds, for every
 source, the number of records under each node; of the 64 halvings every eighth level down
-to LEAF_BITS is stored, so that a node has at most 256 stored children. The tree is a
-table: trees of new batches are added to it by summing node counts (`add_batch`). A target
-rank is found by descending from the root; the leaf that holds it is then refined to its
-distinct scores. Each level looks at no more than 256 rows of a source, so no group of
-records ever meets in one task, however much of the data one source holds.
+to LEAF_BITS is stored, so that a node has at most 256 stored children. The tree is a table
+at a path: each batch appends its own node counts (`append_batch`), and reading sums them
+(`stored_tree`), so cutoffs after a batch cost no second look at the batches before. A target
+rank is found by descending from the root; the leaf that holds it is refined to its distinct
+scores, again by eight halvings at a time down to 64 bits. Each step looks at no more than
+256 rows of a source, so no group of records ever meets in one task, however much of the
+data one source holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import shared_dir, staged
 from ..tables import table
 
 #: Stored levels, in leading bits of the code; the last is the leaf level.
@@ -84,6 +86,17 @@ def add_batch(tree: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def append_batch(rows: DataFrame, path: str) -> None:
+    """Add the node counts of a batch of coded rows to the tree kept at a path (made if it is not there)."""
+    build_tree(rows).write.mode("append").parquet(path)
+
+
+def stored_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The tree kept at a path: the sums of its batches' node counts."""
+    parts = spark.read.schema("src string, level int, node long, cnt long").parquet(path)
+    return parts.groupBy("src", "level", "node").agg(F.sum("cnt").alias("cnt"))
+
+
 def targets(sources: DataFrame) -> DataFrame:
     """(src, pct): sources with a share; of equal keys the largest share counts."""
     return (
@@ -126,13 +139,15 @@ def cutoffs(rows: DataFrame, tree: DataFrame, sources: DataFrame) -> DataFrame:
         up = F.shiftright("node", step) if i else F.lit(0).cast("long")
         level = tree.filter(F.col("level") == bits).select("src", "node", "cnt", up.alias("up"))
         at = _descend(level, at).select("src", F.col("node").alias("up"), "rank")
-    leaf = rows.select("src", "code", "score", node(F.col("code"), LEAF_BITS).alias("up"))
-    distinct = (
-        leaf.join(at.select("src", "up"), ["src", "up"], "left_semi")
-        .groupBy("src", "up", F.col("code").alias("node"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
+    inside = rows.select("src", "code", node(F.col("code"), LEAF_BITS).alias("leaf"))
+    codes = staged(
+        inside.join(at.select("src", F.col("up").alias("leaf")), ["src", "leaf"], "left_semi").groupBy("src", "code").agg(F.count(F.lit(1)).alias("cnt")),
+        "score-leaves",
     )
-    cut = _descend(distinct, at).select("src", F.col("node").alias("code"))
+    for bits in range(LEAF_BITS + 8, 65, 8):
+        level = codes.groupBy("src", node(F.col("code"), bits).alias("node")).agg(F.sum("cnt").alias("cnt"))
+        at = _descend(level.withColumn("up", F.shiftright("node", 8)), at).select("src", F.col("node").alias("up"), "rank")
+    cut = at.select("src", F.col("up").alias("code"))
     cut = (
         cut.join(rows.select("src", "code", "score"), ["src", "code"])
         .groupBy("src", "code")
@@ -177,11 +192,25 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_tree_by_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """The tree built batch by batch (even, then odd batch numbers), as source, level, node, cnt."""
+    """The tree kept at a path, batch by batch (even, then odd batch numbers), as source, level, node, cnt."""
     docs = table(spark, folder, "docvalue").select("rec_id", "source", "score", "batch_no")
     odd = F.coalesce(F.pmod("batch_no", F.lit(2)), F.lit(0)) == 1
-    trees = [build_tree(coded(docs.filter(p), "rec_id")) for p in (~odd, odd)]
-    return reduce(add_batch, trees).select(F.col("src").alias("source"), "level", "node", "cnt")
+    path = f"{shared_dir(spark)}/score-tree-{uuid4().hex}"
+    for p in (~odd, odd):
+        append_batch(coded(docs.filter(p), "rec_id"), path)
+    return stored_tree(spark, path).select(F.col("src").alias("source"), "level", "node", "cnt")
+
+
+def p3_cutoffs_by_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """source, k, cutoff after all batches, from the tree kept at a path that each batch was appended to."""
+    docs = table(spark, folder, "docvalue").select("rec_id", "source", "score", "batch_no")
+    rows = coded(docs, "rec_id")
+    path = f"{shared_dir(spark)}/score-tree-{uuid4().hex}"
+    half = F.coalesce(F.col("batch_no"), F.lit(0)) < 5
+    for p in (half, ~half):
+        append_batch(coded(docs.filter(p), "rec_id"), path)
+    out = cutoffs(rows, stored_tree(spark, path), table(spark, folder, "sources"))
+    return out.select(F.col("src").alias("source"), "k", "cutoff")
 
 
 _RANKED = r"""
@@ -206,4 +235,13 @@ ORACLE = {
     + """select c.src as source, c.pct as keep_pct, c.n, c.k, c.cutoff,
     (select count(*) from r where r.src = c.src and r.score >= c.cutoff) as kept from c""",
 }
-QUERIES = {"p3_found": p3_found, "p3_cutoffs": p3_cutoffs, "p3_tree_by_batch": p3_tree_by_batch}
+ORACLE["p3_cutoffs_by_batch"] = _RANKED + "select src as source, k, cutoff from c"
+ORACLE["p3_tree_by_batch"] = r"""
+with c as (
+  select lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) as source,
+    case when score < 0 then -1 else 1 end * (abs(score)::double)::bit::bigint as code
+  from docvalue where source is not null and score is not null and not isnan(score)
+)""" + " union all ".join(
+    f"select source, {b} as level, {f'code >> {64 - b}' if b else '0'}::bigint as node, count(*) as cnt from c group by all" for b in (0, *LEVELS)
+)
+QUERIES = {"p3_found": p3_found, "p3_cutoffs": p3_cutoffs, "p3_tree_by_batch": p3_tree_by_batch, "p3_cutoffs_by_batch": p3_cutoffs_by_batch}

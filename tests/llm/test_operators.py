@@ -346,3 +346,56 @@ def test_labels_decide_what_is_joined():
         "The captain of the harbour praised the kettle, and the miller who stood beside the river counted the sheep of his neighbour before the harvest began.",
         "The widow sang of winter,\nAnd the shepherd heard her song,\nAnd the river ran to harbour,\nAnd the night was long.",
     ]
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 10])
+def test_filter_of_candidates_or_semi_join(spark, monkeypatch, most):
+    """The filter grows with the ids; above its bound the texts are semi-joined, and the pairs are the same."""
+    from palimpsest.llm import p1_nearcopies as N
+
+    monkeypatch.setattr(N, "BLOOM_MOST", most)
+    r = random.Random(6)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(40)]
+    rows = [(i * 2 + k, " ".join(w if not k or j != 30 else "x" for j, w in enumerate(b))) for i, b in enumerate(base) for k in (0, 1)]
+    pairs, _ = near_copies(spark.createDataFrame(rows, "rec_id long, text string"), "rec_id")
+    assert sorted((p.a, p.b) for p in pairs.collect()) == [(2 * i, 2 * i + 1) for i in range(40)]
+
+
+def test_what_the_trees_look_at():
+    """Nodes a search visits: near 0 bits nearly none, at the radius most of them; the bands do the narrowing."""
+    r = random.Random(10)
+    fps = [r.getrandbits(128) for _ in range(512)]
+
+    class Counted(dict):
+        seen = 0
+
+        def items(self):
+            Counted.seen += 1
+            return super().items()
+
+    tree = BKTree()
+    for i, f in enumerate(fps):
+        tree.add(f, i)
+    tree.kids = [Counted(k) for k in tree.kids]
+    share = []
+    for radius in (0, 10, RADIUS):
+        Counted.seen = 0
+        for f in fps[:64]:
+            tree.within(f, radius)
+        share.append(Counted.seen / 64 / len(fps))
+    assert share[0] < 0.05 and share[0] < share[1] < share[2] <= 1.0
+
+
+def test_a_tree_at_a_path_takes_batches(spark, tmp_path):
+    from palimpsest.llm.p3_cutoff import append_batch, stored_tree
+
+    r = random.Random(3)
+    # scores that agree in their first 32 bits, so that the leaf is refined
+    rows = [(i, "a", 100.0 + r.randrange(3000) * 1e-9) for i in range(900)]
+    df = coded(spark.createDataFrame(rows, "rec_id long, source string, score double"), "rec_id")
+    for k in range(3):
+        append_batch(df.filter(f"id % 3 = {k}"), str(tmp_path / "tree"))
+    tree = stored_tree(spark, str(tmp_path / "tree"))
+    assert sorted(map(tuple, tree.collect())) == sorted(map(tuple, build_tree(df).collect()))
+    c = cutoffs(df, tree, spark.createDataFrame([("a", 37)], "source string, keep_pct int")).first()
+    assert (c.k, c.cutoff) == (333, sorted((s for *_, s in rows), reverse=True)[332])
