@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
+from ..operators import lookup as L
 from . import text as T
 
 # Limits of the ingest filter.
@@ -18,12 +22,19 @@ METRICS = ("compress", "entropy", "dicthit", "alpha", "vowel", "ascii")
 _ALPHA = "^[A-Za-z][A-Za-z'’\\-]*$"
 
 
+@F.pandas_udf(IntegerType())
+def distinct_characters(texts: pd.Series) -> pd.Series:
+    """Number of different characters; null for null. In Arrow batches, as the built-in way makes an array of all of them."""
+    return pd.Series([None if t is None else len(set(t)) for t in texts], dtype="Int32")
+
+
 def prefilter(text: Column, max_length: int = MAX_LENGTH) -> Column:
-    """Long enough, varied enough, of more than two words; false for null."""
+    """Long enough, varied enough, of more than two words; false for null. Only texts of a fit
+    length are looked into."""
     n = F.length(text)
-    kinds = F.size(F.array_distinct(T.characters(text)))
-    ok = (n > MIN_LENGTH) & (n <= max_length) & (kinds > MIN_UNIQUE) & (kinds <= MAX_UNIQUE)
-    return F.coalesce(ok & (F.size(T.space_words(text)) > 2), F.lit(False))
+    fit = (n > MIN_LENGTH) & (n <= max_length) & text.rlike(r"\S\s+\S+\s+\S")
+    kinds = distinct_characters(F.when(fit, text))
+    return F.coalesce(fit & (kinds > MIN_UNIQUE) & (kinds <= MAX_UNIQUE), F.lit(False))
 
 
 def quality(text: Column) -> Column:
@@ -85,13 +96,52 @@ def dict_key(token: Column) -> Column:
     return F.translate(F.lower(token), "’", "'")
 
 
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_ALPHA_TOKEN = re.compile(_ALPHA)
+
+
 def dict_hits(docs: DataFrame, key: str, vocab: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """(key, alpha_n, hit_n, dict_hit): share of alphabetic tokens in the vocabulary.
+    """(key, alpha_n, hit_n, dict_hit): share of alphabetic tokens in the vocabulary, of texts with such tokens.
 
-    Distinct tokens are counted per document before the join; the vocabulary is joined
-    twice, whole and without a possessive ending. Spark broadcasts it while it is small.
+    A token counts whole or without a possessive ending. The vocabulary is looked up within
+    the row while it fits a broadcast; a larger one is joined to each text's distinct tokens,
+    for which the keys must be unique.
     """
     words = vocab.filter((F.col("cnt") >= least) & (F.col("word") != "__total__")).select("word").distinct()
+    known = L.word_table(words, "word")
+    if known is None:
+        return _joined_hits(docs, key, words, text)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        table, memo = shared.value, {}
+        for whole in batches:
+            for b in L.slices(whole, 1):
+                texts = [_BLANKS.split(t) for t in b.column(1).to_pylist()]
+                fresh = [t for t in {t for x in texts for t in x} if t not in memo]
+                if len(memo) > 500_000:
+                    memo, fresh = {}, list({t for x in texts for t in x})
+                # 0 no alphabetic token, 1 one, 2 one in the vocabulary
+                bare = [_OUTER.sub("", t) for t in fresh]
+                low = [t.lower().replace("’", "'") for t in bare]
+                hit = table.places(low) >= 0
+                hit |= (table.places([t[:-2] for t in low]) >= 0) & np.array([t.endswith("'s") for t in low], bool)
+                memo.update((t, (1 + int(h)) if _ALPHA_TOKEN.match(x) else 0) for t, x, h in zip(fresh, bare, hit, strict=True))
+                codes = [[memo[t] for t in x] for x in texts]
+                hits = np.array([c.count(2) for c in codes], np.int64)
+                n = np.array([c.count(1) for c in codes], np.int64) + hits
+                keep = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(n[keep]), pa.array(hits[keep])], ["k", "alpha_n", "hit_n"])
+
+    src = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
+    out = src.mapInArrow(run, f"k {kind}, alpha_n long, hit_n long").withColumnRenamed("k", key)
+    return out.withColumn("dict_hit", F.col("hit_n") * 100.0 / F.col("alpha_n"))
+
+
+def _joined_hits(docs: DataFrame, key: str, words: DataFrame, text: str) -> DataFrame:
+    """dict_hits by two joins; a hot token's rows are split by the adaptive skew join."""
     toks = (
         docs.select(F.col(key), F.explode(alpha_tokens(T.store_tokens(F.col(text)))).alias("t"))
         .select(key, dict_key(F.col("t")).alias("t"))
