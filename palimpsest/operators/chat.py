@@ -57,62 +57,6 @@ def last_of_roles(turns: DataFrame, key: str, turn: str = "turn", content: str =
     )
 
 
-def user_gate(user: Column, assistant: Column) -> Column:
-    """Why a question and answer are not fit for training; null for fit ones.
-
-    The order of the rules is the order of the reasons: short, no sentence, few characters,
-    then refusing beginnings and phrases of the answer.
-    """
-    from ..functions.text import characters
-
-    return (
-        F.when(F.length(user) < 16, "user_too_short")
-        .when(~F.trim(user).rlike("[.?!”\"')]$"), "user_not_sentence")
-        .when(F.size(F.array_distinct(characters(user))) <= 8, "user_low_char_unique")
-        .when(assistant.startswith("I regret that"), "assistant_regret")
-        .when(assistant.startswith("I apologize that"), "assistant_apologize")
-        .when(assistant.startswith("I'm sorry t"), "assistant_sorry")
-        .when(assistant.contains("I cannot answer "), "assistant_cannot")
-        .when(assistant.contains("I cannot provide "), "assistant_cannot_provide")
-        .when(assistant.contains("I have no knowledge of"), "assistant_no_knowledge")
-    )
-
-
-def instruction_gate(text: Column) -> Column:
-    """Why an instruction is no good task: too short, too long, pictures or performing asked for."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    return (
-        F.when(words < 4, "too_short")
-        .when((words > 60) | (F.length(text) > 400), "too_long")
-        .when(text.rlike(r"(?i)\b(image|picture|draw|drawing|paint|painting|illustrate|illustration|graph|diagram)\b"), "non_text_output")
-        .when(text.rlike(r"(?i)\b(recite|sing|read out loud|read the (passage|poem|story|verse|lines|excerpt))\b"), "non_text_action")
-    )
-
-
-def output_flags(text: Column) -> dict[str, Column]:
-    """Failure flags of a generated text: empty, meta, leak, scan junk, anachronism."""
-    t = F.trim(text)
-    return {
-        "empty": F.length(t) < 20,
-        "meta": t.rlike(r"(?i)^\W*(this|the|here(?:'s| is)|in\s+(?:this|summary))\s+(?:(?:original|following|above|preceding|present|given)\s+)?(document|text|passage|author|speaker|excerpt|writer|summary|content|article)\b"),
-        "leak": t.rlike(r"(?i)\b(as an ai|i am an ai|i cannot|i can't|i'm sorry|as a language model|sure,?\s+here|i apologi[sz]e)\b"),
-        "junk": text.rlike(r"[\^|•~¬■□▪●◦♦†‡¤¢∎]"),
-        "late": text.rlike(r"(?i)\b(computer|internet|website|online|telephone|television|radio|automobile|nuclear|software)\b"),
-    }
-
-
-def foreign_task(text: Column) -> Column:
-    """Whether a text asks for another language or has letters beyond Latin-1."""
-    names = "latin|french|german|spanish|italian|greek|portuguese|russian|dutch|hebrew|arabic|chinese|japanese"
-    words = "words?|phrases?|verbs?|nouns?|sentences?|grammar|vocabulary|terms?|expressions?|alphabet|language|proverb|motto"
-    return (
-        text.rlike(r"(?i)\btransl(?:ate|ation|ating|iterate|iteration)\b")
-        | text.rlike(rf"(?i)\b(?:{names})\s+(?:{words}|for)\b")
-        | text.rlike(rf"(?i)\b(?:write|compose|say|speak|recite|sing|render|word|phrase)\b[^.\n]{{0,40}}\b(?:in|into)\s+(?:{names})\b")
-        | text.rlike(r"[\p{L}&&[^\x00-\xFF]]")
-    )
-
-
 def messages_of(system: Column, user: Column, assistant: Column, keep_system: bool = True) -> Column:
     """ARRAY<STRUCT<role, content>>, without the system message if it is null or unwanted."""
     make = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))

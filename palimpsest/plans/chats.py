@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chat as C
+from ..operators import gates as G
 from .base import query
 
 _ROLE = """case when lower(trim(role)) in ('user', 'human', 'prompter', 'question') then 'user'
@@ -42,7 +43,7 @@ def last_turns(spark, verses):
    when contains(assistant, 'I cannot provide ') then 'assistant_cannot_provide' when contains(assistant, 'I have no knowledge of') then 'assistant_no_knowledge' end as reason from l)
   select coalesce(reason, 'ok') as reason, count(*) as convs from r group by 1""")
 def reject_hist(spark, verses):
-    r = _last(verses).select(F.coalesce(C.user_gate(F.col("user"), F.col("assistant")), F.lit("ok")).alias("reason"))
+    r = _last(verses).select(F.coalesce(G.user_gate(F.col("user"), F.col("assistant")), F.lit("ok")).alias("reason"))
     return r.groupBy("reason").agg(F.count(F.lit(1)).alias("convs"))
 
 
@@ -59,7 +60,7 @@ def chat_template(spark, verses):
   when regexp_matches("user", '(?i)\\b(recite|sing|read out loud|read the (passage|poem|story|verse|lines|excerpt))\\b') then 'non_text_action' end as reason
   from l where "user" is not null""")
 def instruction_gate(spark, verses):
-    return _last(verses).filter("user is not null").select("conv_id", C.instruction_gate(F.col("user")).alias("reason"))
+    return _last(verses).filter("user is not null").select("conv_id", G.instruction_gate(F.col("user")).alias("reason"))
 
 
 @query("docvalue", sql=r"""select source, count(*) as n, count(*) filter (where length(trim(text)) < 20) as n_empty,
@@ -67,7 +68,7 @@ def instruction_gate(spark, verses):
   count(*) filter (where regexp_matches(text, '(?i)\b(computer|internet|website|online|telephone|television|radio|automobile|nuclear|software)\b')) as n_late,
   round(avg(length(text)), 3) as mean_chars from docvalue where text is not null group by source""")
 def flag_rates(spark, docvalue):
-    f = C.output_flags(F.col("text"))
+    f = G.output_flags(F.col("text"))
     return (
         docvalue.filter("text is not null").groupBy("source").agg(
             F.count(F.lit(1)).alias("n"), F.count_if(f["empty"]).alias("n_empty"), F.count_if(f["junk"]).alias("n_junk"),
@@ -100,3 +101,52 @@ def question_answer_texts(spark, verses):
     u = t.filter("role = 'user'").select("conv_id", "turn", F.col("content").alias("q"))
     a = t.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("content").alias("a"))
     return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", C.question_answer_text(F.col("q"), F.col("a")).alias("text"))
+
+
+def _q(x: str) -> str:
+    return x.replace("'", "''")
+
+
+def _any(column: str, patterns) -> str:
+    return "(" + " or ".join(f"regexp_matches({column}, '(?i){_q(p)}')" for p in patterns) + ")"
+
+
+_PAIR_RULES = (
+    [(f"length(\"user\") < {G.USER_LEAST}", "user_too_short"), (f"not contains('{_q(G.USER_CLOSERS)}', right(trim(\"user\"), 1))", "user_not_sentence"),
+     (f"len(list_distinct(list_filter(string_split(\"user\", ''), lambda c: c <> ''))) <= {G.USER_KINDS}", "user_low_char_unique")]
+    + [(f"starts_with(assistant, '{_q(x)}')", n) for x, n in G.ANSWER_BEGINS] + [(f"contains(assistant, '{_q(x)}')", n) for x, n in G.ANSWER_HOLDS]
+)
+
+
+@query("bible1611_verses", sql=f"with {_LAST} select conv_id, case {' '.join(f'when {r} then {chr(39)}{n}{chr(39)}' for r, n in _PAIR_RULES)} end as reason from l")
+def pair_reasons(spark, verses):
+    """Why each conversation's last pair is not fit, by all rules."""
+    return _last(verses).select("conv_id", G.user_gate(F.col("user"), F.col("assistant")).alias("reason"))
+
+
+@query("bible1611_verses", sql=f"""with {_LAST}, w as (select conv_id, "user" as u, len(list_filter(regexp_split_to_array("user", '\\s+'), lambda w: w <> '')) as n from l where "user" is not null)
+  select conv_id, case when n < 4 then 'too_short' when n > 60 or length(u) > 400 then 'too_long' when {_any('u', [rf'\b{t}\b' for t in G.NON_TEXT_OUTPUT])} then 'non_text_output'
+  when {_any('u', G.NON_TEXT_ACTION)} then 'non_text_action' end as reason from w""")
+def instruction_reasons(spark, verses):
+    """Why each last question is no good instruction, by whole lists."""
+    return _last(verses).filter("user is not null").select("conv_id", G.instruction_gate(F.col("user")).alias("reason"))
+
+
+@query("bible1611_verses", sql=f"""select conv_id, turn, {_any('content', G.foreign_patterns())} as about, regexp_matches(content, '[^\\x00-\\x{{FF}}]') and
+    len(list_filter(string_split(content, ''), lambda c: c <> '' and unicode(c) > 255 and regexp_matches(c, '\\p{{L}}'))) > 0 as letters from {_TURNS} where content is not null""")
+def english_only(spark, verses):
+    """Turns about another language, and turns with letters beyond Latin-1."""
+    c = F.col("content")
+    task = G.first_match(c, G.foreign_patterns()).isNotNull()
+    return _turns(verses).filter("content is not null").select("conv_id", "turn", task.alias("about"), c.rlike(r"[\p{L}&&[^\x00-\xFF]]").alias("letters"))
+
+
+@query("bible1611_verses", sql=f"""with t as (select model, content, trim(content) as t from bible1611_verses where content is not null)
+  select model, count(*) as n, count(*) filter (where length(t) < {G.GENERATED_LEAST}) as empty, count(*) filter (where {_any('t', [G.META])}) as meta,
+  count(*) filter (where {_any(f'left(t, {G.PREAMBLE_REACH})', [G.PREAMBLE])}) as preamble, count(*) filter (where {_any('t', [G.LEAK])}) as leak,
+  count(*) filter (where regexp_matches(content, '[{G.SCAN_JUNK.replace("^", chr(92) + "^")}]')) as junk, count(*) filter (where {_any('content', [chr(92) + 'b(' + '|'.join(G.ANACHRONISMS) + ')' + chr(92) + 'b'])}) as late
+  from t group by model""")
+def flag_counts(spark, verses):
+    """All failure flags of messages by the model that wrote them."""
+    f = G.output_flags(F.col("content"))
+    return verses.filter("content is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in f.items()])
