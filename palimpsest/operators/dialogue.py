@@ -7,10 +7,10 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordinal import running
 
 
 def coalesce_turns(
@@ -20,11 +20,11 @@ def coalesce_turns(
 
     A line goes on the one before it if the speaker is the same and the gap is at most `gap`.
     """
-    w = W.partitionBy(group).orderBy(pos)
-    same = (F.lag(speaker).over(w) == F.col(speaker)) & ~T.is_unknown_speaker(F.col(speaker))
-    near = F.col(pos) - F.lag(end).over(w) <= gap
-    d = lines.withColumn("_new", F.when(same & near, 0).otherwise(1))
-    d = d.withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    last = F.struct(F.col(speaker).alias("who"), F.col(end).alias("end"))
+    d = running(lines, [group], [pos], "_last", last, "last", before=True)
+    same = (F.col("_last")["who"] == F.col(speaker)) & ~T.is_unknown_speaker(F.col(speaker))
+    d = d.withColumn("_new", F.when(same & (F.col(pos) - F.col("_last")["end"] <= gap), 0).otherwise(1))
+    d = running(d, [group], [pos], "island", F.col("_new"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     joined = F.aggregate(F.transform(rows, lambda r: r["t"]), F.lit(""), lambda acc, x: T.join_turns(acc, x, sep))
     return d.groupBy(group, "island").agg(
@@ -34,12 +34,10 @@ def coalesce_turns(
 
 def overlap_islands(spans: DataFrame, group: str, start: str, end: str, tie: str, slack: int = 1) -> DataFrame:
     """spans with `island`: a span joins those before it if it begins at most `slack` past their furthest end."""
-    w = W.partitionBy(group).orderBy(start, end, tie)
-    furthest = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(furthest.isNull() | (F.col(start) > furthest + slack), 1).otherwise(0)
-    return spans.withColumn("_new", new).withColumn(
-        "island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
-    ).drop("_new")
+    order = [start, end, tie]
+    d = running(spans, [group], order, "_far", F.col(end), "max", before=True)
+    d = d.withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far") + slack), 1).otherwise(0))
+    return running(d, [group], order, "island", F.col("_new")).drop("_new", "_far")
 
 
 def interval_join(left: DataFrame, right: DataFrame, start: str, end: str, width: int, keys: list[str] | None = None) -> DataFrame:
@@ -68,8 +66,7 @@ def interval_join(left: DataFrame, right: DataFrame, start: str, end: str, width
 
 def global_offsets(lines: DataFrame, book: str, chunk: str, length: str) -> DataFrame:
     """lines with `offset`: the lengths of the book's chunks before."""
-    w = W.partitionBy(book).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    return lines.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
+    return running(lines, [book], [chunk], "offset", F.col(length), before=True).withColumn("offset", F.coalesce("offset", F.lit(0)))
 
 
 def common_casing(names: DataFrame, name: str, order: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordinal import quantiles
 
 LETTERS = "ABCDEFGH"
 
@@ -154,26 +154,20 @@ def centred(acc: Column, baseline_pct: Column) -> Column:
 
 
 def nearest_ranks(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """(group, one column a share): the value at the index int(n * share) of the group's sorted values.
-
-    Equal values are counted first; the running count then streams over a group's distinct
-    values in order. Nulls are left out.
-    """
-    per = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(group)
-    total = per.groupBy(group).agg(F.sum("_n").alias("_all"))
-    c = per.withColumn("_cum", F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).join(total, group)
-    place = lambda q: F.least(F.floor(F.col("_all") * q), F.col("_all") - 1)
-    return c.groupBy(group).agg(*[F.min(F.when(F.col("_cum") > place(q), F.col(value))).alias(n) for n, q in shares.items()])
+    """(group, one column a share): the value at the index int(n * share) of the group's sorted values; nulls left out."""
+    return quantiles(df, group, value, shares, nearest=True)
 
 
 def token_statistics(tokens: DataFrame, key: str, logprob: str) -> DataFrame:
     """Mean, median, tenth percentile and least token probability, share under 1 %, perplexity."""
     p = F.exp(logprob)
-    return tokens.filter(F.col(logprob).isNotNull()).groupBy(key).agg(
-        F.avg(p).alias("mean_p"), F.percentile(p, F.lit(0.5)).alias("median_p"), F.percentile(p, F.lit(0.1)).alias("p10"),
-        F.min(p).alias("min_p"), F.avg((p < 0.01).cast("int")).alias("rare"), F.exp(-F.avg(logprob)).alias("perplexity"),
+    t = tokens.filter(F.col(logprob).isNotNull()).withColumn("_p", p)
+    per = t.groupBy(key).agg(
+        F.avg("_p").alias("mean_p"), F.min("_p").alias("min_p"), F.avg((F.col("_p") < 0.01).cast("int")).alias("rare"),
+        F.exp(-F.avg(logprob)).alias("perplexity"),
     )
+    ranks = quantiles(t, key, "_p", {"median_p": 0.5, "p10": 0.1}).withColumnRenamed(key, "_g")
+    return per.join(ranks, F.col(key).eqNullSafe(F.col("_g"))).select(key, "mean_p", "median_p", "p10", "min_p", "rare", "perplexity")
 
 
 def bits_per_byte(nll_sum: Column, byte_sum: Column) -> Column:

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinal import with_ordinal
+from .ordinal import running, with_ordinal
+
+
+#: Templates, a stated set, of one plan.
+TEMPLATE_LIMIT = 10_000
 
 
 def plan_tasks(items: DataFrame, templates: DataFrame, done: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """Every item with every template, less what is done (null-safe on the keys).
 
-    Templates are a stated, small set; Spark broadcasts them.
+    Templates are a stated set, broadcast; more than TEMPLATE_LIMIT are an error.
     """
+    if templates.limit(TEMPLATE_LIMIT + 1).count() > TEMPLATE_LIMIT:
+        raise ValueError(f"more than {TEMPLATE_LIMIT} templates must be given in blocks")
     t = items.crossJoin(F.broadcast(templates))
     if done is None:
         return t
@@ -51,11 +57,8 @@ def arithmetic(spark, low: int = -2, high: int = 12) -> DataFrame:
 
 def changes(rows: DataFrame, group: str, order: str, cols: list[str]) -> DataFrame:
     """Rows that differ in any of the columns from the one before; the first counts as a change."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(group).orderBy(order)
     s = F.struct(*cols)
-    return rows.withColumn("_p", F.lag(s).over(w)).filter(~F.col("_p").eqNullSafe(s)).drop("_p")
+    return running(rows, [group], [order], "_p", s, "last", before=True).filter(~F.col("_p").eqNullSafe(s)).drop("_p")
 
 
 def drift(rows: DataFrame, group: str, order: str, value: str, step: float = 0.2) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from .ordinal import quantiles
 
 
 def by_key(store: DataFrame, key: str) -> DataFrame:
@@ -22,8 +23,10 @@ def by_key(store: DataFrame, key: str) -> DataFrame:
     return store.filter(F.col("id") == key)
 
 
-def by_keys(store: DataFrame, keys: list[str]) -> DataFrame:
-    """The records of a list of keys."""
+def by_keys(store: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """The records of a list of keys, or of a table's column id."""
+    if isinstance(keys, DataFrame):
+        return store.join(keys.select("id"), "id", "left_semi")
     wanted = store.sparkSession.createDataFrame([(k,) for k in sorted(set(keys))], "id string")
     return store.join(wanted, "id", "left_semi")
 
@@ -73,35 +76,39 @@ def upsert(store: DataFrame, batch: DataFrame, seq: str = "seq", weak_source: st
 
     The better conflict score wins and the later of equals, but a repeated text keeps its
     first record. A record of the weak source takes another source of its key. Both sides
-    need id, text, source, the metrics and seq; the store's rows count as earlier.
+    need id, text, source, the metrics and seq, which is unique on each side; the store's rows
+    count as earlier. Winners are decided on hashes of the texts, so whole rows are moved once.
     """
     rows = store.withColumn("_late", F.lit(0)).unionByName(batch.withColumn("_late", F.lit(1)), allowMissingColumns=True)
-    cols = [c for c in rows.columns if c != "_late"]
-    rows = rows.select(
-        F.struct(*cols).alias("row"), F.col("id"), F.col("text"), F.struct("_late", seq).alias("at"),
-        M.conflict_score().alias("score"),
+    slim = rows.select(
+        "id", F.xxhash64("text").alias("h"), F.struct("_late", F.col(seq).alias("_seq")).alias("at"), M.conflict_score().alias("score"),
         F.when(~F.col("source").eqNullSafe(weak_source), F.col("source")).alias("strong"),
     )
-    first = rows.groupBy("id", "text").agg(
-        F.min_by("row", "at").alias("row"), F.min("at").alias("at"), F.max("score").alias("score"),
+    first = slim.groupBy("id", "h").agg(
+        F.min("at").alias("at"), F.max("score").alias("score"),
         F.min(F.when(F.col("strong").isNotNull(), F.struct("at", "strong"))).alias("strong"),
     )
-    best = first.groupBy("id").agg(
-        F.max_by("row", F.struct("score", "at")).alias("row"), F.min("strong").alias("strong")
-    )
-    kept = best.select(F.col("row.*"), F.col("strong.strong").alias("_strong"))
+    best = first.groupBy("id").agg(F.max(F.struct("score", "at"))["at"].alias("at"), F.min("strong").alias("strong"))
+    win = best.select(F.col("id").alias("_id"), "at._late", "at._seq", F.col("strong.strong").alias("_strong")).withColumnRenamed("_late", "_when")
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("_late") == F.col("_when")) & F.col(seq).eqNullSafe(F.col("_seq"))
+    kept = rows.join(win, on)
     source = F.when(F.col("source").eqNullSafe(weak_source), F.coalesce("_strong", "source")).otherwise(F.col("source"))
-    return kept.withColumn("source", source).drop("_strong")
+    return kept.withColumn("source", source).drop("_strong", "_late", "_when", "_id", "_seq")
 
 
 def merge_best(rows: DataFrame, rank: str, seq: str, score: Column | None = None) -> DataFrame:
     """One record per id of several collections: the best score, of equals the lowest rank, then seq.
 
-    rank 0 is the target; others are the sources in their order.
+    rank 0 is the target; others are the sources in their order. seq is unique within a rank.
+    Winners are decided without the texts, so whole rows are moved once.
     """
     s = M.global_score() if score is None else score
     better = F.struct(s.alias("s"), (-F.col(rank)).alias("r"), (-F.col(seq)).alias("q"))
-    return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), better).alias("row")).select("row.*")
+    best = rows.groupBy("id").agg(F.max(better).alias("_b")).select(
+        F.col("id").alias("_id"), (-F.col("_b")["r"]).alias("_rank"), (-F.col("_b")["q"]).alias("_seq")
+    )
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col(rank) == F.col("_rank")) & (F.col(seq) == F.col("_seq"))
+    return rows.join(best, on).drop("_id", "_rank", "_seq")
 
 
 def merge_report(rows: DataFrame, rank: str, score: Column | None = None) -> DataFrame:
@@ -126,18 +133,29 @@ def merge_report(rows: DataFrame, rank: str, score: Column | None = None) -> Dat
     )
 
 
-def delete_where(store: DataFrame, condition: Column, limit: int | None = 100) -> DataFrame:
-    """The store without the first `limit` matches in key order (all of them for None)."""
+def delete_where(store: DataFrame, condition: Column, limit: int | None = 100, dry: bool = False) -> DataFrame:
+    """The store without the first `limit` matches in key order (all of them for None); a dry run
+    gives the matching records instead."""
     hit = store.filter(condition).select("id")
     if limit is not None:
         hit = hit.distinct().orderBy("id").limit(limit)
-    return store.join(hit, "id", "left_anti")
+    return store.join(hit.distinct(), "id", "left_semi" if dry else "left_anti")
+
+
+def delete_key(store: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(store without a key, where to go from there: the next key, else the one before, null in an empty store)."""
+    near = store.agg(
+        F.min(F.when(F.col("id") > key, F.col("id"))).alias("after"), F.max(F.when(F.col("id") < key, F.col("id"))).alias("before"),
+        F.count_if(F.col("id") == key).alias("deleted"),
+    )
+    return store.filter(~F.col("id").eqNullSafe(key)), near.select(F.coalesce("after", "before").alias("id"), "deleted")
 
 
-def edit_text(store: DataFrame, key: str, text: str) -> DataFrame:
+def edit_text(store: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> DataFrame:
     """The store with one record's text replaced: new key and metrics, extra dropped.
 
-    If the new key is another record's, the store comes back unchanged. dicthit is null.
+    If the new key is another record's, the store comes back unchanged. dicthit is computed
+    from the vocabulary, and null without one.
     """
     new = T.content_id(F.lit(text))
     old = store.filter(F.col("id") == key)
@@ -158,6 +176,10 @@ def edit_text(store: DataFrame, key: str, text: str) -> DataFrame:
         "vowel": F.round(M.vowel_share(t), 2), "ascii": F.round(M.ascii_share(t), 2),
         "dicthit": F.lit(None), "extra": F.lit(None),
     }
+    if vocab is not None:
+        one = store.sparkSession.createDataFrame([(0, text)], "k int, text string")
+        share = M.dict_hits(one, "k", vocab).select("dict_hit").collect()
+        values["dicthit"] = F.lit(round(share[0].dict_hit, 2) if share else 0.0)
     for c, v in values.items():
         if c in store.columns:
             made = made.withColumn(c, v.cast(store.schema[c].dataType))
@@ -237,12 +259,14 @@ def matching(df: DataFrame, condition: Column) -> DataFrame:
 def metric_summary(df: DataFrame, metrics: list[str], exact: bool = True) -> DataFrame:
     """(metric, mean, min, p5, p95, max) with null and NaN as 0.
 
-    Exact percentiles interpolate and shuffle every value; without `exact` they come from
-    sketches of bounded size.
+    Exact percentiles interpolate, from counts of equal values that are spread over tasks;
+    without `exact` they come from sketches of bounded size.
     """
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), M.number(F.col(m).cast("double")).alias("x")) for m in metrics])
     rows = df.select(F.explode(pairs).alias("p")).select("p.metric", "p.x")
-    q = (lambda p: F.percentile("x", F.lit(p))) if exact else (lambda p: F.percentile_approx("x", p, 10000))
-    return rows.groupBy("metric").agg(
-        F.avg("x").alias("mean"), F.min("x").alias("min"), q(0.05).alias("p5"), q(0.95).alias("p95"), F.max("x").alias("max")
-    )
+    ends = [F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")]
+    if exact:
+        per = rows.groupBy("metric").agg(*ends).join(quantiles(rows, "metric", "x", {"p5": 0.05, "p95": 0.95}), "metric")
+        return per.select("metric", "mean", "min", "p5", "p95", "max")
+    q = lambda p: F.percentile_approx("x", p, 10000)
+    return rows.groupBy("metric").agg(ends[0], ends[1], q(0.05).alias("p5"), q(0.95).alias("p95"), ends[2])

@@ -57,14 +57,17 @@ def load_counters(rows: DataFrame) -> DataFrame:
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON lines, of a JSON array, or of an object that wraps an array.
 
-    The first character of the first line decides; for a wrapper the first array field counts.
+    A file is lines if its first line that is not blank is a whole JSON object; an array or an
+    object over several lines is read whole. Of an object alone, the first array of objects
+    counts, if it has one.
     """
-    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    first = head[0].value.strip() if head else ""
-    whole = first.startswith("[") or first == "{" or (first.startswith("{") and "[" in first and not first.rstrip().endswith("}"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    head = lines.select(F.trim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("ok")).limit(2).collect()
+    first = head[0].v if head else ""
+    whole = first.startswith("[") or bool(head and not head[0].ok)
     df = spark.read.option("multiLine", whole).json(path)
     arrays = [f.name for f in df.schema.fields if f.dataType.simpleString().startswith("array<struct")]
-    if whole and not first.startswith("[") and arrays:
+    if not first.startswith("[") and arrays and (whole or len(head) == 1):
         return df.select(F.explode(arrays[0]).alias("r")).select("r.*")
     return df
 
@@ -72,9 +75,17 @@ def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """(id, value): schemaless JSON records by id, or by the hash of their text; the last of an id stays.
 
-    Records without both are left out. value is the record's JSON.
+    JSON lines, or files that hold an array or a single object over several lines. Records
+    without both are left out. value is the record's JSON.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("o"), "value")
+    head = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("ok")).limit(1).collect()
+    if head and (head[0].v.startswith("[") or not head[0].ok):
+        files = spark.read.text(path, wholetext=True)
+        whole = F.when(F.try_parse_json("value").isNotNull(), F.trim("value"))
+        items = F.when(whole.startswith("["), F.from_json(whole, "array<string>")).otherwise(F.array(whole))
+        lines = files.select(F.explode(items).alias("value")).select(F.monotonically_increasing_id().alias("o"), "value")
+    else:
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("o"), "value")
     j = F.from_json("value", "struct<id:string,text:string>")
     sha = F.reflect(F.lit("org.apache.commons.codec.digest.DigestUtils"), F.lit("sha512_256Hex"), F.col("j.text"))
     d = lines.filter(F.try_parse_json("value").isNotNull()).withColumn("j", j)
@@ -174,14 +185,21 @@ def read_token_shards(spark: SparkSession, path: str, eos: int) -> DataFrame:
 
 def token_health(docs: DataFrame, ids: str, vocab_size: int, seq_len: int) -> DataFrame:
     """One row: documents, tokens, ids out of range, lengths least, median, mean, most, tiny, short, long, huge."""
+    from ..operators.ordinal import quantiles
+
     n = F.size(ids)
-    return docs.agg(
+    one = docs.select(F.lit(1).alias("_g"), n.alias("_n"))
+    median = quantiles(one, "_g", "_n", {"median": 0.5}).select("median")  # one row
+    stats = docs.agg(
         F.count(F.lit(1)).alias("docs"), F.sum(n).alias("tokens"),
         F.sum(F.size(F.filter(ids, lambda x: (x < 0) | (x >= vocab_size)))).alias("bad_ids"),
-        F.min(n).alias("least"), F.percentile(n, F.lit(0.5)).alias("median"), F.avg(n).alias("mean"), F.max(n).alias("most"),
+        F.min(n).alias("least"), F.avg(n).alias("mean"), F.max(n).alias("most"),
         F.count_if(n < 16).alias("tiny"), F.count_if(n < seq_len).alias("short"), F.count_if(n >= seq_len).alias("long"),
         F.count_if(n > 100 * seq_len).alias("huge"),
     )
+    return stats.join(F.broadcast(median), how="left").select(
+        "docs", "tokens", "bad_ids", "least", "median", "mean", "most", "tiny", "short", "long", "huge"
+    )
 
 
 def markdown_urls(text: Column) -> Column:

@@ -35,10 +35,11 @@ def upsert_stream(spark: SparkSession, source: str, schema: StructType | str, ta
 
     def step(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        try:
-            old = s.read.parquet(f"{target}/v={n - 1}")
-        except Exception:  # noqa: BLE001 - the first batch has no version before
-            old = s.createDataFrame([], batch.schema)
+        # only the very first version has none before it; a read that fails is an error
+        jvm, path = s.sparkContext._jvm, f"{target}/v={n - 1}"
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        old = s.read.parquet(path) if there else s.createDataFrame([], batch.schema)
         upsert(old, batch, seq).write.mode("overwrite").parquet(f"{target}/v={n}")
 
     d = spark.readStream.schema(schema).parquet(source)
