@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that hardly occur in clean prose.
 NOISE = "•▪■□●○◦·※†‡§¶¤¦¨¬¯´¸×÷=~^|\\{}<>@#$%&*_+"
@@ -94,6 +98,17 @@ def scan_clean(text: Column, keep_paragraphs: bool = False) -> Column:
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n\n")
 
 
+@F.pandas_udf(StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Compatibility composition (NFKC), which no built-in has: ligatures become letters."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def scan_cleaned(text: Column, keep_paragraphs: bool = False) -> Column:
+    """scan_clean of the text in compatibility composition."""
+    return scan_clean(compatible(text), keep_paragraphs)
+
+
 def unify_quotes(text: Column) -> Column:
     """Quoting marks and dashes of all kinds become plain ones."""
     return F.translate(text, "“”„‟″‘’‚‛′‐‑‒–—―", "\"\"\"\"\"'''''------")

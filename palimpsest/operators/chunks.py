@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lookup import slices
 from .ordinal import with_ordinal
 
 _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
@@ -96,22 +97,18 @@ def span_shards(
 ) -> DataFrame:
     """(key, shard, pos, words, shard_text): exact spans of each text; their texts together are the text.
 
-    Null and empty texts give none. One text at a time is in memory.
+    Null and empty texts give none.
     """
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                t = b.column(1)[i].as_py()
-                s = spans(t, low, high, target)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "k": pa.array([b.column(0)[i].as_py()] * len(s), pa.int64()),
-                        "shard": pa.array(range(len(s)), pa.int32()),
-                        "pos": pa.array([x[0] for x in s], pa.int64()),
-                        "words": pa.array([_words(t[x[0] : x[1]]) for x in s], pa.int32()),
-                        "shard_text": pa.array([t[x[0] : x[1]] for x in s], pa.string()),
-                    }
+        for whole in batches:
+            for b in slices(whole, 1):
+                rows = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    rows += [(k, i, x, _words(t[x:y]), t[x:y]) for i, (x, y) in enumerate(spans(t, low, high, target))]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["k", "shard", "pos", "words", "shard_text"]
                 )
 
     src = df.filter(F.length(text) > 0).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -226,6 +223,39 @@ def text_splits(df: DataFrame, key: str, ratio: float = 0.9, text: str = "text",
     return src.mapInArrow(run, "k long, train string, valid string").withColumnRenamed("k", key)
 
 
+def middle_places(text: str, share: float = 0.1, tolerance: float = 0.05, least: int = 1000) -> tuple[int, int]:
+    """(start, end) of the validation part of a single document: about `share` of it, from the middle.
+
+    Both ends are cut at clean boundaries of their own; texts under `least` characters have none,
+    others at least one character.
+    """
+    n = len(text)
+    if n < least:
+        return n, n
+    start = split_place(text, (1 - share) / 2, tolerance)
+    return start, max(start + 1, split_place(text, (1 + share) / 2, tolerance))
+
+
+def middle_splits(df: DataFrame, key: str, share: float = 0.1, text: str = "text", least: int = 1000) -> DataFrame:
+    """(key, train, valid, start): validation carved from the middle of each text, so that both ends
+    train; `start` is where it stood. Null texts give no row."""
+
+    def run(batches):
+        for b in batches:
+            ts = b.column(1).to_pylist()
+            at = [middle_places(t, share, least=least) for t in ts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), pa.array([t[:x] + t[y:] for t, (x, y) in zip(ts, at, strict=True)], pa.string()),
+                    pa.array([t[x:y] for t, (x, y) in zip(ts, at, strict=True)], pa.string()), pa.array([x for x, _ in at], pa.int64()),
+                ],
+                ["k", "train", "valid", "start"],
+            )
+
+    src = df.filter(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    return src.mapInArrow(run, "k long, train string, valid string, start long").withColumnRenamed("k", key)
+
+
 def entry_split(df: DataFrame, order: str, ratio: float = 0.9, tolerance: float = 0.05, text: str = "text") -> DataFrame:
     """df with part 'train' or 'valid': entries in order, cut at the cleanest boundary near the ratio.
 

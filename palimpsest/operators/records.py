@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from ..session import staged
 
 
 def best_with_ties(df: DataFrame, group: str, score: str) -> DataFrame:
@@ -52,17 +55,28 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key)
 
 
-def few_shot(items: DataFrame, key: str, k: int, pool: int = 200, seed: int = 1234) -> DataFrame:
-    """(key, shots): k other items for each, chosen by a hash of both keys from a pool of fixed size.
+def few_shot(items: DataFrame, key: str, k: int, pool: int | None = None, seed: int = 1234) -> DataFrame:
+    """(key, shots): k other items for each, drawn by a hash from all items; fewer if there are not so many.
 
-    The pool holds the items of the least hashes, so it is bounded and the same for all.
+    Items are numbered in an order that depends on the seed. Each draws places by a hash of its
+    key and the draw's number, without its own, then the places after the first drawn; the
+    drawn places are joined to the items that hold them. `pool` bounds the places to the
+    first ones. Keys must be unique; a null key draws and is drawn like any other.
     """
-    p = items.orderBy(seeded_order(F.col(key), seed), key).limit(pool).select(F.col(key).alias("_o"))
-    lots = p.agg(F.array_sort(F.collect_list("_o")).alias("_pool"))
-    other = F.filter("_pool", lambda o: o != F.col(key))
-    ranked = F.transform(other, lambda o: F.struct(F.xxhash64(F.lit(seed), F.col(key), o).alias("h"), o.alias("o")))
-    shots = F.transform(F.slice(F.array_sort(ranked), 1, k), lambda x: x["o"])
-    return items.select(key).crossJoin(F.broadcast(lots)).select(key, shots.alias("shots"))
+    from .ordinal import with_ordinal
+
+    o = staged(with_ordinal(items.select(key), seeded_order(F.col(key), seed), name="_at", start=0), "shots")
+    n = o.count() if pool is None else min(pool, o.count())
+    if n < 2 or k < 1:
+        return items.select(key, F.array().cast(ArrayType(items.schema[key].dataType)).alias("shots"))
+    draws = F.transform(F.sequence(F.lit(1), F.lit(4 * k)), lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col(key), j), F.lit(n)))
+    after = F.transform(F.sequence(F.lit(1), F.lit(min(k + 1, n))), lambda j: F.pmod(draws[0] + j, F.lit(n)))
+    places = F.slice(F.filter(F.array_distinct(F.concat(draws, after)), lambda p: p != F.col("_at")), 1, k)
+    drawn = o.select(F.col("_at").alias("_by"), F.posexplode(places).alias("_j", "_at"))
+    held = drawn.join(o.select("_at", F.col(key).alias("_o")), "_at").groupBy("_by").agg(F.array_sort(F.collect_list(F.struct("_j", "_o"))).alias("_s"))
+    return o.join(held, o["_at"] == held["_by"], "left").select(
+        key, F.coalesce(F.transform("_s", lambda x: x["_o"]), F.array().cast(ArrayType(items.schema[key].dataType))).alias("shots")
+    )
 
 
 def choice_prompt(question: Column, choices: Column) -> Column:

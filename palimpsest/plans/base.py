@@ -14,7 +14,7 @@ ORACLE: dict[str, str] = {}
 
 #: Queries whose work on each text is worth spreading over all cores first.
 HEAVY = frozenset(
-    "prefilter_docs doc_tokens word_counts doc_entropy doc_shares dict_hit doc_compress score_by_source scan_clean "
+    "doc_tokens word_counts doc_entropy doc_shares dict_hit doc_compress scan_clean "
     "term_hits vocab_min3 nb_log_ratio nb_features date_scores century_guess word_windows token_windows span_shards "
     "span_shards_check lookahead_chunks lookahead_report ngram_distinct rouge_pool located_lines located_altered text_splits".split()
 )

@@ -76,7 +76,7 @@ def key_nav(spark, docvalue):
 @query("docvalue", sql="select rec_id, id from docvalue where id in (select id from docvalue where batch_no = 3)")
 def multi_get(spark, docvalue):
     keys = docvalue.filter("batch_no = 3 and id is not null").select("id").distinct()
-    return docvalue.join(keys, "id", "left_semi").select("rec_id", "id")
+    return S.by_keys(docvalue, keys).select("rec_id", "id")
 
 
 @query("docvalue", sql="select rec_id, id, quality from docvalue where quality > 100 order by id, rec_id limit 100")

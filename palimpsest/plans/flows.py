@@ -73,13 +73,12 @@ def parsed_verses(spark, scripture):
     return v.groupBy("book").agg(F.count(F.lit(1)).alias("verses"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("documents")
+@query("documents", sql="""select doc_id::varchar as file, 1::bigint as poem, coalesce(title, 'Untitled') as title, 'A. Nonymous' as author, trim(text) as body
+  from documents where text is not null""")
 def poems(spark, documents):
-    """Poems under headings of title and author, parsed from one text a source."""
+    """Poems under headings of title and author, parsed from one text a document."""
     block = F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled")), F.lit(" by A. Nonymous\n"), F.col("text"))
-    files = documents.filter("text is not null and source is not null").groupBy(F.col("source").alias("file")).agg(
-        F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("text")
-    )
+    files = documents.filter("text is not null").select(F.col("doc_id").cast("string").alias("file"), block.alias("text"))
     return R.parse_poems(files)
 
 

@@ -63,6 +63,31 @@ def text_splits(spark, documents):
     return C.text_splits(documents, "doc_id")
 
 
+@query("documents", sql="""select doc_id, md5(text) as whole, length(text) < 1000 as trains_only, true as about_a_tenth from documents where text is not null""")
+def middle_splits(spark, documents):
+    """Validation carved from the middle: put back, it gives the text; about a tenth, or none of short texts."""
+    s = C.middle_splits(documents, "doc_id")
+    n = F.length("train") + F.length("valid")
+    back = F.concat(F.left("train", F.col("start").cast("int")), "valid", F.substring("train", F.col("start").cast("int") + 1, F.length("train")))
+    share = F.length("valid") / F.greatest(n, F.lit(1))
+    return s.select(
+        "doc_id", F.md5(back).alias("whole"), (F.col("valid") == "").alias("trains_only"),
+        ((F.col("valid") == "") | ((share > 0) & (share < 0.21))).alias("about_a_tenth"),
+    )
+
+
+@query("documents", sql=r"""select doc_id, md5(replace(replace(text, chr(13), ''), ' ', '')) as letters, true as in_order from documents where length(text) > 0""")
+def span_texts(spark, documents):
+    """The exact spans of each document put together again."""
+    s = C.span_shards(documents, "doc_id", 60, 140, 100)
+    rows = F.array_sort(F.collect_list(F.struct("shard", "pos", "shard_text")))
+    g = s.groupBy("doc_id").agg(rows.alias("r"))
+    text = F.array_join(F.transform("r", lambda x: x["shard_text"]), "")
+    order = F.transform("r", lambda x: x["pos"])
+    bare = F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit(" "), F.lit(""))
+    return g.select("doc_id", F.md5(bare).alias("letters"), (F.array_sort(order) == order).alias("in_order"))
+
+
 @query("documents", sql=r"""with o as (select doc_id, text, row_number() over (order by doc_id) as n, sum(coalesce(length(text), 0)) over (order by doc_id rows unbounded preceding) as cum,
     sum(coalesce(length(text), 0)) over () as total, count(*) over () as rows from documents),
   c as (select *, abs(cum - total * 0.9::double) as dist, case when regexp_matches(coalesce(text, ''), '(?:\n\n|\r\n\r\n)\s*$') then 3

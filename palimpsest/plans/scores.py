@@ -169,23 +169,11 @@ def embedding_stats(spark, embeddings):
 _TEMPLATES = [("summary", "Sum up: {text}"), ("title", "Name it: {text} ({era})")]
 
 
-@query("documents", sql="""with t(prompt, template) as (values ('summary', 'Sum up: {text}'), ('title', 'Name it: {text} ({era})'))
-  select doc_id, prompt, replace(replace(template, '{text}', coalesce(left(text, 50), '')), '{era}', coalesce(year_est::varchar, '?')) as task from documents, t
-  where not (coalesce(year_est, 0) < 1800 and prompt = 'summary')""")
-def plan_resume(spark, documents):
-    """Every document with every template, less what is done, rendered."""
-    t = spark.createDataFrame(_TEMPLATES, "prompt string, template string")
-    done = documents.filter("coalesce(year_est, 0) < 1800").select("doc_id", F.lit("summary").alias("prompt"))
-    tasks = P.plan_tasks(documents.select("doc_id", F.left("text", F.lit(50)).alias("t"), "year_est"), t, done, ["doc_id", "prompt"])
-    text, era = F.coalesce("t", F.lit("")), F.coalesce(F.col("year_est").cast("string"), F.lit("?"))
-    return tasks.select("doc_id", "prompt", T.rendered(F.col("template"), text=text, era=era).alias("task"))
-
-
 @query("documents", sql="""with t(prompt, template) as (values ('summary', 'Sum up: {text}'), ('title', 'Name it: {text} ({era})'))
   select doc_id, prompt, replace(replace(template, '{text}', coalesce(text, '')), '{era}', coalesce(year_est::varchar, '?')) as task from documents, t
   where not (coalesce(year_est, 0) < 1800 and prompt = 'summary')""")
 def plan_whole(spark, documents):
-    """As plan_resume, with the whole text of each document in its tasks."""
+    """Every document with every template, less what is done, rendered with the whole text."""
     t = spark.createDataFrame(_TEMPLATES, "prompt string, template string")
     done = documents.filter("coalesce(year_est, 0) < 1800").select("doc_id", F.lit("summary").alias("prompt"))
     tasks = P.plan_tasks(documents.select("doc_id", F.col("text").alias("t"), "year_est"), t, done, ["doc_id", "prompt"])

@@ -324,3 +324,125 @@ def test_streaming_upsert(spark, tmp_path):
         upsert_stream(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "chk")).awaitTermination()
         got = rows(spark.read.parquet(f"{tmp_path}/out/v={k}"), "id", "seq")
     assert got == [("a", 2), ("b", 3)]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_word_tables_broadcast_or_joined(spark, monkeypatch, limit):
+    """Dates, periods and dictionary hits come out the same whether the tables are broadcast or joined."""
+    from palimpsest.functions import metrics as M
+    from palimpsest.operators import lookup
+
+    texts = ["Thou hath 'tis the Computer’s kettle", "the the computer", "", None, "miller's kettles, kettle", "12 34", "o'er the kettle ne'er"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    old = spark.createDataFrame([("thou", 90), ("hath", 80), ("the", 500), ("o'er", 3)], "word string, cnt long")
+    new = spark.createDataFrame([("computer", 90), ("the", 500)], "word string, cnt long")
+    vocab = spark.createDataFrame([("kettle", 5), ("miller", 5), ("the", 2), ("__total__", 9), (None, 7)], "word string, cnt long")
+    monkeypatch.setattr(lookup, "WORD_LIMIT", limit)
+    ratios = E.log_ratios(old, new)
+    s = {r.id: r for r in E.date_features(d, "id", ratios).collect()}
+    assert len(s) == 7 and s[0].arch_count == 2 and s[6].arch_count == 2 and s[2].n_tokens == s[3].n_tokens == s[5].n_tokens == 0
+    lr = {r.word: r.lr for r in ratios.collect()}
+    assert abs(s[1].sum_lr - (2 * lr["the"] + lr["computer"])) < 1e-9 and abs(s[0].english_frac - 3 / 6) < 1e-9
+    periods = old.withColumn("period", F.lit("a")).unionByName(new.withColumn("period", F.lit("b")))
+    assert dict(rows(E.best_period(d, "id", periods), "id", "period")) == {0: "a", 1: "b", 4: "b", 6: "a"}
+    hits = {r.id: (r.alpha_n, r.hit_n) for r in M.dict_hits(d, "id", vocab).collect()}
+    assert hits == {0: (6, 1), 1: (3, 0), 4: (3, 2), 6: (4, 1)}
+
+
+def test_words_of_an_empty_table(spark):
+    from palimpsest.functions import metrics as M
+
+    d = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string")
+    none = spark.createDataFrame([], "word string, cnt long")
+    assert rows(E.date_features(d, "id", E.log_ratios(none, none)), "id", "n_tokens") == [(1, 2), (2, 0)]
+    assert E.best_period(d, "id", none.withColumn("period", F.lit("x"))).count() == 0
+    assert rows(M.dict_hits(d, "id", none), "id", "hit_n") == [(1, 0)]
+    assert E.term_hits(d, "id", spark.createDataFrame([], "term string")).count() == 0
+    assert E.word_frequencies(d.limit(0)).count() == 0
+
+
+def test_era_gate_reads_numbers_and_terms(spark):
+    d = spark.createDataFrame([(1, "the websites of 1950"), (2, "in 1950 or 2024"), (3, "in 1900, 999 and 12345"), (4, None), (5, "")], "id int, text string")
+    got = {r.id: (r.terms, r.year, r.reason) for r in E.era_gate(d, "id", E.term_list(spark, ["website"])).collect()}
+    assert got == {1: (["website"], 1950, "terms"), 2: ([], 1950, "year"), 3: ([], None, None), 4: ([], None, None), 5: ([], None, None)}
+
+
+def test_running_over_a_hot_group(spark):
+    """Sums, maxima and the rows before, against a plain loop, with one group holding most rows and null groups."""
+    from palimpsest.operators.ordinal import quantiles, running
+
+    r = random.Random(9)
+    data = [(r.choice(["hot"] * 8 + ["a", "b", None]), i, r.randrange(50), r.choice("xyz")) for i in range(600)]
+    d = spark.createDataFrame(data, "g string, o int, v int, w string").repartition(7)
+    for how, f, before in (("sum", sum, False), ("sum", sum, True), ("max", max, False), ("max", max, True), ("last", lambda x: x[-1], True)):
+        got = {x.o: x.n for x in running(d, ["g"], ["o"], "n", F.col("v"), how, before=before).collect()}
+        seen: dict = {}
+        assert len(got) == 600
+        for g, o, v, _ in data:
+            xs = seen.setdefault(g, [])
+            if not before:
+                xs.append(v)
+            assert got[o] == (f(xs) if xs else None)
+            if before:
+                xs.append(v)
+    q = {x.g: (x.low, x.mid) for x in quantiles(d, "g", "v", {"low": 0.05, "mid": 0.5}).collect()}
+    import numpy as np
+
+    for g in {x[0] for x in data}:
+        xs = [v for h, _, v, _ in data if h == g]
+        assert np.allclose(q[g], np.quantile(xs, [0.05, 0.5]))
+    assert running(d.limit(0), ["g"], ["o"], "n", F.col("v")).count() == 0 and quantiles(d.limit(0), "g", "v", {"x": 0.5}).count() == 0
+
+
+def test_gates(spark):
+    from palimpsest.operators import gates as G
+
+    d = spark.createDataFrame(
+        [("What is the kettle made of?", "I'm affraid I know not."), ("short", "x"), ("aaaaaaaaaaaaaaaaaaaaa.", "x"), (None, "x"), ("Who made the old kettle?", None)], "u string, a string"
+    )
+    assert [x[0] for x in d.select(G.user_gate(F.col("u"), F.col("a"))).collect()] == ["assistant_affraid", "user_too_short", "user_low_char_unique", None, None]
+    say = ["Show me a map of the town", "Read this tale of the mill aloud now", "Give the german word for the mill", "Decline the noun of this line", "Tell of Greek myths and the mill", "Ecrivez à l’œuvre", None]
+    t = spark.createDataFrame([(x,) for x in say], "t string")
+    got = [tuple(x) for x in t.select(G.instruction_gate(F.col("t")), G.instruction_match(F.col("t")), G.foreign_task(F.col("t"))).collect()]
+    assert got == [
+        ("non_text_output", "map ", None), ("non_text_action", "Read this tale of the mill aloud", None), (None, None, "german word"),
+        (None, None, "Decline the"), (None, None, None), ("too_short", None, "œ"), (None, None, None),
+    ]
+    flags = G.output_flags(F.lit("The following passage: let me continue. I cannot. The internet ■"))
+    assert [spark.range(1).select(c).first()[0] for c in flags.values()] == [False, True, True, True, True, True]
+
+
+@pytest.mark.parametrize("n", [0, 999, 1000, 5000])
+def test_middle_split(n):
+    text = ("Some words here. And others there!\n\n" * 200)[:n]
+    a, b = K.middle_places(text)
+    assert (a, b) == (n, n) if n < 1000 else 0.39 * n < a < b < 0.61 * n
+
+
+def test_shots_come_from_all_items(spark):
+    from palimpsest.operators import records as R
+
+    d = spark.range(400).withColumnRenamed("id", "item_id")
+    got = R.few_shot(d, "item_id", 3).collect()
+    assert len(got) == 400 and all(len(set(r.shots)) == 3 and r.item_id not in r.shots for r in got)
+    assert len({s for r in got for s in r.shots}) > 340
+    two = {r.item_id: r.shots for r in R.few_shot(d.limit(2), "item_id", 3).collect()}
+    assert two == {0: [1], 1: [0]} and R.few_shot(d.limit(0), "item_id", 3).count() == 0
+
+
+def test_raw_and_wrapped_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"id": "x", "v": 1},\n {"text": "t"}, {"v": 3}\n]')
+    (tmp_path / "b.json").write_text('{\n "id": "y",\n "a": [\n {"k": 1}]}')
+    (tmp_path / "c.jsonl").write_text('{"a": [1]}\n{"a": [2]}\n')
+    (tmp_path / "d.json").write_text('{"rows": [{"k": 1}, {"k": 2}]}')
+    ids = [r.id for r in R.read_raw(spark, str(tmp_path / "a.json")).collect()]
+    assert "x" in ids and len(ids) == 2 and [r.id for r in R.read_raw(spark, str(tmp_path / "b.json")).collect()] == ["y"]
+    assert R.read_json_rows(spark, str(tmp_path / "a.json")).count() == 3 and R.read_json_rows(spark, str(tmp_path / "c.jsonl")).count() == 2
+    assert rows(R.read_json_rows(spark, str(tmp_path / "d.json")), "k") == [(1,), (2,)]
+
+
+def test_delete_key_and_dry_run(spark):
+    d = spark.createDataFrame([(f"{i:02d}", i) for i in range(5)], "id string, v int")
+    left, to = ST.delete_key(d, "02")
+    assert left.count() == 4 and tuple(to.first()) == ("03", 1) and tuple(ST.delete_key(d, "04")[1].first()) == ("03", 1)
+    assert rows(ST.delete_where(d, F.col("v") > 2, dry=True), "id") == [("03",), ("04",)]
