@@ -223,3 +223,54 @@ def century_ordinal(year: Column) -> Column:
         .otherwise("th")
     )
     return F.concat(c.cast("string"), tail, F.lit(" century"))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences: pieces between white space that follows a stop and stands before a capital or a quoting mark."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z\"'“”‘’])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+
+
+def human_bytes(n: Column) -> Column:
+    """A size with B, KiB, MiB, GiB or TiB and one decimal."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f ", F.bround(n / 1024**power, 1)), F.lit(unit))).otherwise(out)
+    return out
+
+
+def hex_successor(prefix: Column) -> Column:
+    """The least string above all that begin with a hex prefix: its last digit that is not f raised, what follows cut; null for only f."""
+    kept = F.regexp_replace(F.lower(prefix), "f+$", "")
+    last = F.conv(F.right(kept, F.lit(1)), 16, 10).cast("int") + 1
+    return F.when(kept != "", F.concat(F.left(kept, F.length(kept) - 1), F.lower(F.conv(last.cast("string"), 10, 16))))
+
+
+def text_first(template: Column) -> Column:
+    """A template with {text} first and its instructions below."""
+    before, after = F.substring_index(template, "{text}", 1), F.substring_index(template, "{text}", -1)
+    parts = F.filter(F.array(F.trim(before), F.trim(after)), lambda p: p != "")
+    return F.when(F.contains(template, F.lit("{text}")), F.concat(F.lit("{text}\n\n"), F.array_join(parts, "\n"))).otherwise(template)
+
+
+def usable_template(template: Column, era: str | None) -> Column:
+    """Whether a template has a place for the text, and an era is given if it asks for one."""
+    ok = F.contains(template, F.lit("{text}"))
+    return F.coalesce(ok if era else ok & ~F.contains(template, F.lit("{era}")), F.lit(False))
+
+
+def word_range(spec: Column) -> Column:
+    """STRUCT<low, high> of 'MIN-MAX' or 'N'; null if it is no range or upside down."""
+    low = F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 1).try_cast("int")
+    high = F.coalesce(F.regexp_extract(spec, r"^\s*(\d+)\s*-\s*(\d+)\s*$", 2).try_cast("int"), low)
+    return F.when((low > 0) & (low <= high), F.struct(low.alias("low"), high.alias("high")))
+
+
+def by_alias(name: Column, aliases: dict[str, str]) -> Column:
+    """The full name of an alias, without regard to case and outer blanks; other names trimmed as they are."""
+    m = F.create_map(*[F.lit(x) for k, v in sorted(aliases.items()) for x in (k.lower(), v)]) if aliases else F.create_map()
+    return F.coalesce(F.try_element_at(m, F.lower(F.trim(name))), F.trim(name)) if aliases else F.trim(name)
+
+
+def left_truncated(ids: Column, most: int) -> Column:
+    """The last `most` of an array of tokens."""
+    return F.when(F.size(ids) > most, F.slice(ids, -most, most)).otherwise(ids)

@@ -178,3 +178,66 @@ def sequence_ratio(a: Column, b: Column) -> Column:
         )
 
     return ratio(a, b)
+
+
+def merge_segmentations(lines: DataFrame, group: str, source_texts: DataFrame | None = None) -> DataFrame:
+    """(group, island, anchor, speaker, text, conflict, split): two segmentations of a text made one.
+
+    lines are (group, source, seq, anchor, stop, speaker, text, probe) with sources 'd1' and 'd2';
+    seq is unique. Lines whose spans overlap or touch form an island. In each island the
+    finer segmentation is the base, d1 where both are as fine; of equal probes the first counts. A
+    speaker is a known name of an overlapping line, of d1 before d2, else Unknown; two different
+    names are a conflict. The text is that of the overlapping lines of about its length which is
+    most like the source at the place (group, source_text), or else the base's own. Lines
+    without an anchor are left out.
+    """
+    placed = overlap_islands(lines.filter(F.col("anchor").isNotNull()), group, "anchor", "stop", "seq")
+    finer = placed.groupBy(group, "island").agg(F.count_if(F.col("source") == "d1").alias("n1"), F.count_if(F.col("source") == "d2").alias("n2"))
+    base = F.when(F.col("n1") >= F.col("n2"), "d1").otherwise("d2")
+    split = (F.col("n1") > 1) | (F.col("n2") > 1)
+    of = placed.join(finer.select(group, "island", base.alias("base"), split.alias("split")), [group, "island"])
+    own = of.filter(F.col("source") == F.col("base"))
+    first = own.groupBy(group, "island", "probe").agg(F.min("seq").alias("_first"))
+    seg = own.join(first, [group, "island", "probe"]).filter(F.col("seq") == F.col("_first")).drop("_first", "source", "base")
+    if source_texts is None:
+        seg = seg.withColumn("window", F.lit(None).cast("string"))
+    else:
+        at = source_texts.select(F.col(group).alias("_g"), "source_text")
+        window = F.substring("source_text", (F.col("anchor") + 1).cast("int"), (F.col("stop") - F.col("anchor") + 8).cast("int"))
+        seg = seg.join(at, F.col(group) == F.col("_g"), "left").withColumn("window", window).drop("_g", "source_text")
+    other = placed.select(
+        F.col(group).alias("_g"), F.col("island").alias("_i"), F.col("source").alias("o_source"), F.col("seq").alias("o_seq"), F.col("anchor").alias("o_anchor"),
+        F.col("stop").alias("o_stop"), F.col("speaker").alias("o_speaker"), F.col("text").alias("o_text"), F.col("probe").alias("o_probe"),
+    )
+    on = (F.col(group) == F.col("_g")) & (F.col("island") == F.col("_i")) & (F.col("anchor") < F.col("o_stop")) & (F.col("o_anchor") < F.col("stop"))
+    both = seg.join(other, on).drop("_g", "_i")
+    n, m = F.length("probe"), F.length("o_probe")
+    like = F.col("window").isNotNull() & ((F.col("o_seq") == F.col("seq")) | ((m >= n * 0.7) & (m <= n * 1.4)))
+    both = both.withColumn("like", sequence_ratio(F.when(like, F.lower("window")), F.when(like, F.lower("o_probe"))))
+    known = ~T.is_unknown_speaker(F.col("o_speaker"))
+    names = lambda d: F.collect_set(F.when(known & (F.col("o_source") == d), F.lower("o_speaker")))  # noqa: E731 - of one line's neighbours
+    g = both.groupBy(group, "island", "seq").agg(
+        F.first("anchor").alias("anchor"), F.first("split").alias("split"), F.first("text").alias("own"),
+        F.min_by(F.when(known, F.col("o_speaker")), F.when(known, F.struct("o_source", "o_anchor", "o_seq"))).alias("who"),
+        F.max_by("o_text", F.when(F.col("like").isNotNull(), F.struct("like", F.col("o_seq") == F.col("seq"), -F.col("o_seq")))).alias("best"),
+        names("d1").alias("d1"), names("d2").alias("d2"),
+    )
+    conflict = (F.size("d1") > 0) & (F.size("d2") > 0) & (F.array_sort("d1") != F.array_sort("d2"))
+    out = g.select(group, "island", "anchor", F.coalesce("who", F.lit("Unknown")).alias("speaker"), F.coalesce("best", "own").alias("text"), conflict.alias("conflict"), "split")
+    return out.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+
+
+def merge_counters(lines: DataFrame, merged: DataFrame, group: str) -> DataFrame:
+    """(group, lines, located, located_pct, islands, split_islands, conflicts, unknown, unknown_pct, merged); group null for all."""
+    pct = lambda a, b: F.round(a * 100.0 / F.nullif(b, F.lit(0)), 1)
+    a = lines.rollup(group).agg(F.count(F.lit(1)).alias("lines"), F.count("anchor").alias("located"))
+    m = merged.rollup(F.col(group).alias("_g")).agg(
+        F.count(F.lit(1)).alias("merged"), F.countDistinct(group, "island").alias("islands"),
+        F.countDistinct(F.when(F.col("split"), F.struct(group, "island"))).alias("split_islands"), F.count_if("conflict").alias("conflicts"),
+        F.count_if(T.is_unknown_speaker(F.col("speaker"))).alias("unknown"),
+    )
+    out = a.join(m, F.col(group).eqNullSafe(F.col("_g")), "left").na.fill(0, ["merged", "islands", "split_islands", "conflicts", "unknown"])
+    return out.select(
+        group, "lines", "located", pct(F.col("located"), F.col("lines")).alias("located_pct"), "islands", "split_islands", "conflicts", "unknown",
+        pct(F.col("unknown"), F.col("merged")).alias("unknown_pct"), "merged",
+    )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
-from .ordinal import quantiles
+from .ordinal import quantiles, running
 
 
 def by_key(store: DataFrame, key: str) -> DataFrame:
@@ -270,3 +270,28 @@ def metric_summary(df: DataFrame, metrics: list[str], exact: bool = True) -> Dat
         return per.select("metric", "mean", "min", "p5", "p95", "max")
     q = lambda p: F.percentile_approx("x", p, 10000)
     return rows.groupBy("metric").agg(ends[0], ends[1], q(0.05).alias("p5"), q(0.95).alias("p95"), ends[2])
+
+
+def ingest_report(rows: DataFrame, file: str, order: str, offset: int = 0, limit: int | None = None, text: str = "text", key: str = "id") -> DataFrame:
+    """(file, loaded, dropped, skipped, limited, duplicate, indexed) of an import of files.
+
+    Of each file the first `offset` rows are skipped; of the others those that the ingest filter
+    refuses are dropped, and fit ones beyond `limit` not taken; of taken rows of one key all but
+    the first, by file and order, are duplicates. A file of any size is spread.
+    """
+    n = running(rows.withColumn("_fit", M.prefilter(F.col(text))), [file], [order], "_n", F.lit(1))
+    late = F.col("_n") > offset
+    k = running(n.drop(text), [file], [order], "_k", (late & F.col("_fit")).cast("int"))
+    limited = F.lit(False) if limit is None else F.col("_k") > limit
+    what = F.when(~late, "skipped").when(~F.col("_fit"), "dropped").when(limited, "limited").otherwise("taken")
+    d = k.select(file, order, key, what.alias("what"))
+    taken = d.filter("what = 'taken'")
+    # the first of each key is indexed
+    first = taken.groupBy(key).agg(F.min(F.struct(file, order))[file].alias("_f"))
+    indexed = first.groupBy(F.col("_f").alias("_file")).agg(F.count(F.lit(1)).alias("indexed"))
+    c = d.groupBy(file).agg(
+        F.count(F.lit(1)).alias("loaded"), *[F.count_if(F.col("what") == w).alias(w) for w in ("dropped", "skipped", "limited")],
+        F.count_if(F.col("what") == "taken").alias("_taken"),
+    )
+    out = c.join(indexed, F.col(file).eqNullSafe(F.col("_file")), "left").withColumn("indexed", F.coalesce("indexed", F.lit(0)))
+    return out.select(file, "loaded", "dropped", "skipped", "limited", (F.col("_taken") - F.col("indexed")).alias("duplicate"), "indexed")

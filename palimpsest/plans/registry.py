@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLE, QUERIES
 
-for _m in ("documents", "collection", "eras", "chats", "pieces", "scores", "flows", "reply_queries", "record_queries"):
+for _m in ("documents", "collection", "eras", "chats", "pieces", "scores", "flows", "reply_queries", "record_queries", "selections", "run_queries"):
     import_module(f"{__package__}.{_m}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -218,3 +218,71 @@ def dialogue_records(lines: DataFrame, column: str) -> DataFrame:
         F.when(two, F.try_element_at("m", F.lit("speaker"))).otherwise(F.map_keys("m")[0]).alias("speaker"),
         F.when(two, F.try_element_at("m", F.lit("text"))).otherwise(F.map_values("m")[0]).alias("text"),
     )
+
+
+def resolved(paths: list[str]) -> list[str]:
+    """The files that paths, globs and folders (with their subfolders) of a local or shared disk name: each once, sorted."""
+    from glob import glob
+    from pathlib import Path
+
+    out: set[str] = set()
+    for p in paths:
+        for q in glob(p, recursive=True) or [p]:
+            f = Path(q)
+            out |= {str(x) for x in f.rglob("*") if x.is_file()} if f.is_dir() else {str(f)}
+    return sorted(out)
+
+
+def read_parquet_texts(spark: SparkSession, path: str, text: str = "text") -> tuple[DataFrame, bool]:
+    """((text) of a Parquet source without null and empty texts, whether it has the column): none if it lacks it."""
+    d = spark.read.parquet(path)
+    if text not in d.columns:
+        return spark.createDataFrame([], "text string"), False
+    t = d.select(F.col(text).cast("string").alias("text"))
+    return t.filter("text <> ''"), True
+
+
+def read_shard_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source, chunk_file, shard, words, text) of shard files: a JSON object with a source and an array of
+    shards in each file, or one such object a line."""
+    head = spark.read.text(path).filter(F.trim("value") != "").select(F.try_parse_json("value").isNotNull().alias("ok")).limit(1).collect()
+    d = spark.read.option("multiLine", bool(head) and not head[0].ok).schema("source string, shards array<struct<shard:int,words:int,text:string>>").json(path)
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1)
+    return d.select("source", name.alias("chunk_file"), F.explode("shards").alias("s")).select("source", "chunk_file", "s.shard", "s.words", "s.text")
+
+
+def fresh(files: DataFrame, now: Column, age: str) -> DataFrame:
+    """Files (with modificationTime, as binaryFile gives) that were changed less than an age such as '1 day' ago."""
+    return files.filter(F.col("modificationTime") > now - F.expr(f"interval {age}"))
+
+
+def plain_characters(text: Column) -> Column:
+    """A text without byte-order mark, with one kind of line end, and without control, private and replacement characters."""
+    t = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
+    return F.regexp_replace(t, r"[\p{Cc}\p{Co}\p{Cn}\ufffd&&[^\n\t]]", "")
+
+
+def book_body(text: Column, heading: str, next_heading: Column) -> Column:
+    """The part of a text from the last line that is a book's heading to the next book's heading, or its end; null without.
+
+    Contents lists name the books too, so the last such line is the book's beginning.
+    """
+    begin = rf"(?is)^.*(?:^|\n)[ \t]*{heading}[ \t]*\r?\n"
+    rest = F.when(text.rlike(begin), F.regexp_replace(text, begin, ""))
+    end = F.regexp_instr(rest, F.concat(F.lit(r"(?i)\n[ \t]*"), next_heading, F.lit(r"[ \t]*(\r?\n|$)")))
+    return F.when(next_heading.isNull() | (end == 0), rest).otherwise(F.substring(rest, F.lit(1), end - 1))
+
+
+def book_pages(spark: SparkSession, path: str, most: int | None = None, least_markup: int = 32) -> DataFrame:
+    """(page, name, text) of scanned-book XML: the first `most` pages that have words, with the name of their PARAM PAGE;
+    pages of less markup than `least_markup` characters count as blank."""
+    d = spark.read.option("rowTag", "OBJECT").xml(path).withColumn("page", F.monotonically_increasing_id())
+    j = F.to_json(F.struct(*[c for c in d.columns if c != "page"]))
+    lines = F.flatten(F.transform(F.regexp_extract_all(j, F.lit(r'("WORD":(?:\[[^\]]*\]|"(?:[^"\\]|\\.)*"))'), F.lit(1)), lambda x: F.array(x)))
+    words = F.transform(
+        lines, lambda x: F.array_join(F.regexp_extract_all(F.regexp_replace(x, '^"WORD":', ""), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), " ")
+    )
+    name = F.nullif(F.regexp_extract(j, r'"_name":"PAGE","_value":"([^"]*)"', 1), F.lit(""))
+    p = d.select("page", name.alias("name"), F.array_join(F.filter(words, lambda w: w != ""), "\n").alias("text"), F.length(j).alias("_n"))
+    p = p.filter((F.col("text") != "") & (F.col("_n") >= least_markup)).drop("_n")
+    return p if most is None else p.orderBy("page").limit(most)

@@ -97,3 +97,33 @@ def write_split(train_valid: DataFrame, path: str) -> tuple[int, int]:
 def append_results(df: DataFrame, path: str) -> None:
     """Append JSON lines to a result log."""
     df.write.mode("append").json(path)
+
+
+def write_shard_files(shards: DataFrame, path: str, source: str, order: str, *fields: str) -> DataFrame:
+    """One JSON record a source: {source, total, shards: [...]} in order; returns (source, total). A source's shards are one text's."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *fields)))
+    g = shards.groupBy(source).agg(F.count(F.lit(1)).alias("total"), rows.alias("shards"))
+    g.write.mode("overwrite").json(path)
+    return shards.groupBy(source).agg(F.count(F.lit(1)).alias("total"))
+
+
+def write_chunk_files(chunks: DataFrame, path: str, book: str, place: str, text: str) -> DataFrame:
+    """Chunk texts in folders file=book_chunk_0001.txt; returns the report (book, chunks, words, least, most)."""
+    from ..functions.text import space_words
+
+    name = F.format_string("%s_chunk_%04d.txt", F.col(book).cast("string"), (F.col(place) + 1).cast("int"))
+    chunks.select(name.alias("file"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("file").option("lineSep", "\n").text(path)
+    n = F.size(space_words(F.col(text)))
+    return chunks.groupBy(book).agg(F.count(F.lit(1)).alias("chunks"), F.sum(n).alias("words"), F.min(n).alias("least"), F.max(n).alias("most"))
+
+
+def report_lines(df: DataFrame, *order: str) -> DataFrame:
+    """(place, line): a table as lines of text, a heading first, columns padded to their widest value."""
+    from ..operators.ordinal import with_ordinal
+
+    s = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in df.columns], *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    wide = s.agg(*[F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(c)), F.lit(0))).alias(c) for c in df.columns]).first()
+    head = "  ".join(c.ljust(wide[c]) for c in df.columns).rstrip()
+    line = F.rtrim(F.concat_ws("  ", *[F.rpad(c, wide[c], " ") for c in df.columns]))
+    o = with_ordinal(s, *[f"_o{i}" for i in range(len(order))], name="place")
+    return s.sparkSession.createDataFrame([(0, head)], "place long, line string").unionByName(o.select("place", line.alias("line")))
