@@ -363,4 +363,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_members": p1_members}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p1_found": r"""
+with w as (select rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from docvalue where text is not null),
+t as (select distinct rec_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as t from (select rec_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 20)),
+n as (select rec_id, count(*) as n from t group by 1),
+c as (select a.rec_id as a, b.rec_id as b, count(*) as c from t a join t b on a.t = b.t and a.rec_id < b.rec_id group by 1, 2)
+select c.a as rec_id_a, c.b as rec_id_b from c join n x on x.rec_id = c.a join n y on y.rec_id = c.b where c.c >= 0.6::double * (x.n + y.n - c.c) - 1e-9"""
+}

@@ -282,4 +282,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p7_found": r"""
+with w as (select item_id, regexp_extract_all(lower(query), '[\p{L}\p{N}]+') as w from copa where query is not null),
+s as (select item_id, least(8, len(w)) as k, w[i:i + 7] as s from (select item_id, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) as i from w where len(w) > 0)),
+l as (select distinct k from s),
+d as (select rec_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from docvalue where text is not null),
+t as (select rec_id, k, w[i:i + k - 1] as s from (select rec_id, k, w, unnest(range(1, len(w) - k + 2)) as i from d, l where len(w) >= k))
+select distinct rec_id, item_id from t join s using (k, s)"""
+}

@@ -133,5 +133,17 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill}
-ORACLE: dict[str, str] = {}
+def p9_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (none without tokens): documents placed, containers above the capacity, pieces that do not begin where the one before ends,
+    and texts split though they fit a container."""
+    rows = staged(p9_containers(spark, folder), "containers")
+    per = rows.groupBy("container").agg(F.sum("size").alias("used"), F.sort_array(F.collect_list(F.struct("position", "size"))).alias("p"))
+    ends = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.lit(0).alias("bad")), lambda a, x: F.struct((a["at"] + x["size"]).alias("at"), (a["bad"] + (a["at"] != x["position"]).cast("int")).alias("bad")))
+    bins = per.agg(F.count_if(F.col("used") > CAPACITY).alias("overfull"), F.sum(ends["bad"]).alias("misplaced"))
+    docs = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("n"))
+    one = docs.agg(F.count(F.lit(1)).alias("docs"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).alias("needless"))
+    return one.join(bins).select("docs", "overfull", F.coalesce("misplaced", F.lit(0)).alias("misplaced"), "needless").filter("docs > 0")  # one row each
+
+
+QUERIES = {"p9_containers": p9_containers, "p9_fill": p9_fill, "p9_checked": p9_checked}
+ORACLE = {"p9_checked": "select count(*) as docs, 0::bigint as overfull, 0::bigint as misplaced, 0::bigint as needless from documents where text <> ''"}
