@@ -47,13 +47,16 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Only where no such setting exists (tests on one machine) a temporary folder is set.
+    Only where no such setting exists and all runs on one machine (tests) a temporary folder is
+    set; on a cluster the setting is a must, as executors would write to disks of their own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext._jsc.sc().getCheckpointDir().get()
