@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .ordinal import running
+from .ordinal import has_hot_group, running
 
 
 def coalesce_turns(
@@ -21,10 +21,11 @@ def coalesce_turns(
     A line goes on the one before it if the speaker is the same and the gap is at most `gap`.
     """
     last = F.struct(F.col(speaker).alias("who"), F.col(end).alias("end"))
-    d = running(lines, [group], [pos], "_last", last, "last", before=True)
+    hot = has_hot_group(lines, [group])
+    d = running(lines, [group], [pos], "_last", last, "last", before=True, hot=hot)
     same = (F.col("_last")["who"] == F.col(speaker)) & ~T.is_unknown_speaker(F.col(speaker))
     d = d.withColumn("_new", F.when(same & (F.col(pos) - F.col("_last")["end"] <= gap), 0).otherwise(1))
-    d = running(d, [group], [pos], "island", F.col("_new"))
+    d = running(d, [group], [pos], "island", F.col("_new"), hot=hot)
     rows = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     joined = F.aggregate(F.transform(rows, lambda r: r["t"]), F.lit(""), lambda acc, x: T.join_turns(acc, x, sep))
     return d.groupBy(group, "island").agg(
@@ -35,9 +36,10 @@ def coalesce_turns(
 def overlap_islands(spans: DataFrame, group: str, start: str, end: str, tie: str, slack: int = 1) -> DataFrame:
     """spans with `island`: a span joins those before it if it begins at most `slack` past their furthest end."""
     order = [start, end, tie]
-    d = running(spans, [group], order, "_far", F.col(end), "max", before=True)
+    hot = has_hot_group(spans, [group])
+    d = running(spans, [group], order, "_far", F.col(end), "max", before=True, hot=hot)
     d = d.withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far") + slack), 1).otherwise(0))
-    return running(d, [group], order, "island", F.col("_new")).drop("_new", "_far")
+    return running(d, [group], order, "island", F.col("_new"), hot=hot).drop("_new", "_far")
 
 
 def interval_join(left: DataFrame, right: DataFrame, start: str, end: str, width: int, keys: list[str] | None = None) -> DataFrame:

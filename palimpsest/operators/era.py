@@ -32,17 +32,25 @@ ARCHAIC = (
 )
 
 
-def word_frequencies(docs: DataFrame, text: str = "text", least: int = 1) -> DataFrame:
-    """(word, cnt) of the detector's words, at least `least` times; counted by batch before the shuffle."""
+def word_frequencies(docs: DataFrame, text: str = "text", least: int = 1, by: Column | None = None) -> DataFrame:
+    """(word, cnt), or (period, word, cnt) by a column of strings, of the detector's words, at least `least` times.
+
+    Words are counted by batch before the shuffle; rows of a null period are left out.
+    """
 
     def run(batches):
         for whole in batches:
-            for b in L.slices(whole, 0):
-                n = Counter(w for t in b.column(0).to_pylist() for w in L.detector_words(t))
-                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "cnt"])
+            for b in L.slices(whole, 1):
+                n: Counter = Counter()
+                for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    n.update((p, w) for w in L.detector_words(t))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in n], pa.string()), pa.array([w for _, w in n], pa.string()), pa.array(n.values(), pa.int64())], ["period", "word", "cnt"]
+                )
 
-    w = docs.select(F.col(text).alias("t")).filter("t is not null").mapInArrow(run, "word string, cnt long")
-    out = w.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    src = docs.select((F.lit("") if by is None else by).alias("p"), F.col(text).alias("t")).filter("t is not null and p is not null")
+    keys = ["word"] if by is None else ["period", "word"]
+    out = src.mapInArrow(run, "period string, word string, cnt long").groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
     return out.filter(F.col("cnt") >= least) if least > 1 else out
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
+from ..functions.stems import stem
 from .ordinal import quantiles
 
 LETTERS = "ABCDEFGH"
@@ -87,6 +89,19 @@ def rouge_l(a: Column, b: Column) -> Column:
     return f(a, b)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def stemmed(tokens: pd.Series) -> pd.Series:
+    """The stems of an array of lower-case words."""
+    return tokens.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+
+def answers_alike(generated: Column, gold: Column, least: float = 0.30) -> Column:
+    """Whether a generated answer is close enough to the gold one: ROUGE-L F of the stems of their
+    normalized words of at least `least`; null texts are like nothing."""
+    r = rouge_l(stemmed(T.answer_tokens(generated)), stemmed(T.answer_tokens(gold)))
+    return F.coalesce(r >= least, F.lit(False))
+
+
 def best_rouge(candidates: DataFrame, pool: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, best): the best ROUGE-L of each candidate against a fixed pool of token arrays.
 
@@ -226,3 +241,14 @@ def tier(x: Column, bands: list[tuple[float, str]], below: str) -> Column:
     for floor, name in sorted(bands):
         out = F.when(x >= floor, name).otherwise(out)
     return out
+
+
+def best_choice(scores: Column) -> Column:
+    """Index of the greatest score that is not null, the first of equals; null without any."""
+    top = F.array_max(scores)
+    return F.when(top.isNotNull(), (F.array_position(scores, top) - 1).cast("int"))
+
+
+def suite(df: DataFrame, group: str, metrics: dict[str, Column]) -> DataFrame:
+    """(group, one column a metric): aggregates registered by name; group null for all rows."""
+    return df.rollup(group).agg(*[m.alias(n) for n, m in metrics.items()])

@@ -10,6 +10,8 @@ from ..session import staged
 
 #: monotonically_increasing_id holds the place within a partition in its lower bits.
 _PLACE = (1 << 33) - 1
+#: Rows of a group that one task may run a window over.
+GROUP_LIMIT = 1_000_000
 
 
 def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal", start: int = 1) -> DataFrame:
@@ -32,17 +34,31 @@ def with_ordinal(df: DataFrame, *order: Column | str, name: str = "ordinal", sta
     return numbered.withColumn(name, (place + F.col("_offset")).cast("long")).drop("_part", "_id", "_offset")
 
 
-def running(df: DataFrame, group: list[str], order: list[str], name: str, value: Column, how: str = "sum", before: bool = False) -> DataFrame:
+def has_hot_group(df: DataFrame, group: list[str]) -> bool:
+    """Whether a group has more rows than one task may run a window over."""
+    largest = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"]
+    return (largest or 0) > GROUP_LIMIT
+
+
+def running(
+    df: DataFrame, group: list[str], order: list[str], name: str, value: Column, how: str = "sum", before: bool = False, hot: bool | None = None
+) -> DataFrame:
     """df with `name`: the sum or maximum of `value` over the rows of a group up to each row, or its last value.
 
     `before` leaves the row itself out (so that the last value is that of the row before); the
-    result is null where nothing comes before. Rows are
-    range-partitioned by group and order, so a group of any size is spread; within a partition a
-    window runs over each group, and what a group carries on from the partitions before is
-    computed from one row for each partition that begins or ends within a group. Order must be
-    total within a group, or rows of equal order lie anyhow.
+    result is null where nothing comes before. The largest group is counted first: if it has at
+    most GROUP_LIMIT rows, each group is one task's window. Else rows are range-partitioned by
+    group and order, so a group of any size is spread; within a partition a window runs over
+    each group, and what a group carries on from the partitions before is computed from one row for
+    each partition that begins or ends within a group. Order must be total within a group, or
+    rows of equal order lie anyhow. `hot` tells what is known of the groups already.
     """
     f = {"sum": F.sum, "max": F.max, "last": F.last}[how]
+    if not (has_hot_group(df, group) if hot is None else hot):
+        w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+        if how == "last":
+            return df.withColumn(name, F.last(F.struct(value.alias("x"))).over(w)["x"])
+        return df.withColumn(name, f(value).over(w))
     keys = [*group, *order]
     parts = df.withColumn("_v", F.struct(value.alias("x")) if how == "last" else value).repartitionByRange(*keys).sortWithinPartitions(*keys)
     parts = staged(parts.withColumn("_part", F.spark_partition_id()), "running")

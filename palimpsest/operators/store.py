@@ -8,6 +8,7 @@ found by aggregates that combine on the map side, so a key may hold any share of
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -295,3 +296,10 @@ def ingest_report(rows: DataFrame, file: str, order: str, offset: int = 0, limit
     )
     out = c.join(indexed, F.col(file).eqNullSafe(F.col("_file")), "left").withColumn("indexed", F.coalesce("indexed", F.lit(0)))
     return out.select(file, "loaded", "dropped", "skipped", "limited", (F.col("_taken") - F.col("indexed")).alias("duplicate"), "indexed")
+
+
+def mapped(store: DataFrame, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(store with columns set to new values, (changed, total)): a null value leaves the record's own."""
+    new = {c: F.coalesce(v.cast(store.schema[c].dataType), F.col(c)) for c, v in values.items()}
+    other = reduce(lambda a, b: a | b, [~n.eqNullSafe(F.col(c)) for c, n in new.items()], F.lit(False))
+    return store.withColumns(new), store.agg(F.count_if(other).alias("changed"), F.count(F.lit(1)).alias("total"))

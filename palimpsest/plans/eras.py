@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import era as E
+from ..session import staged
 from .base import query
 
 _WORDS = "unnest(regexp_extract_all(lower(replace(replace(text, '’', ''''), '‘', '''')), '[a-z]+(?:''[a-z]+)*')) as word"
@@ -27,6 +28,13 @@ _RATIO = f"""o as (select word, count(*) as o from (select {_WORDS} from documen
   z as (select ln((0.5::double / (sm + 0.5::double * v)) / (0.5::double / (so + 0.5::double * v))) as lr0 from t)"""
 
 
+def _ratios(documents):
+    """The log ratios of the documents of either side of 1800, whose words are counted in one pass."""
+    side = F.when(F.expr(_OLD), "old").when(F.expr(_NEW), "new")
+    f = staged(E.word_frequencies(documents, by=side), "words-by-side")
+    return E.log_ratios(f.filter("period = 'old'"), f.filter("period = 'new'"))
+
+
 @query("documents", sql=f"select word, count(*) as cnt from (select {_WORDS} from documents) group by 1 having count(*) >= 3")
 def vocab_min3(spark, documents):
     return E.word_frequencies(documents, least=3)
@@ -49,7 +57,7 @@ def term_hits(spark, documents):
 
 @query("documents", sql=f"""with {_RATIO} select word, o::bigint as old_cnt, round(lr, 4) + 0.0 as lr from r""")
 def nb_log_ratio(spark, documents):
-    r = E.log_ratios(E.word_frequencies(documents.filter(_OLD)), E.word_frequencies(documents.filter(_NEW)))
+    r = _ratios(documents)
     return r.select("word", F.col("old_cnt").cast("long"), (F.round("lr", 4) + 0.0).alias("lr"))
 
 
@@ -60,7 +68,7 @@ def nb_log_ratio(spark, documents):
     round(coalesce(sum(case when lr > 0 then n * lr / (1 + coalesce(o, 0) / 200.0::double) else 0.0 end), 0), 3) as gated_sum
   from documents d left join x on d.doc_id = x.doc_id group by d.doc_id""")
 def nb_features(spark, documents):
-    r = E.log_ratios(E.word_frequencies(documents.filter(_OLD)), E.word_frequencies(documents.filter(_NEW)))
+    r = _ratios(documents)
     none = documents.select("doc_id").limit(0)
     s = E.date_scores(documents, "doc_id", r, none)
     return s.select("doc_id", "n_tokens", *[F.round(c, k).alias(c) for c, k in (("english_frac", 4), ("sum_lr", 3), ("gated_sum", 3))])
@@ -83,7 +91,7 @@ _ARCH = ", ".join("'" + w.replace("'", "''") + "'" for w in E.ARCHAIC)
   select doc_id, n_tokens, arch_count, round(case when doc_id in (select doc_id from h) then least(p, 0.03::double) else p end, 3) as p from p""")
 def date_vetoes(spark, documents):
     """Archaic words and the probability of an old text, with the veto of term hits."""
-    r = E.log_ratios(E.word_frequencies(documents.filter(_OLD)), E.word_frequencies(documents.filter(_NEW)))
+    r = _ratios(documents)
     hits = E.term_hits(documents, "doc_id", E.term_list(spark, list(_LATER), ["railway"]))
     s = E.date_scores(documents, "doc_id", r, hits)
     return s.select("doc_id", "n_tokens", F.col("arch_count").cast("long").alias("arch_count"), F.round("p", 3).alias("p"))
@@ -112,7 +120,7 @@ def era_reasons(spark, documents):
 @query("documents")
 def date_scores(spark, documents):
     """Scores with the veto of term hits, and whether the text is kept (tests check the formula)."""
-    r = E.log_ratios(E.word_frequencies(documents.filter(_OLD)), E.word_frequencies(documents.filter(_NEW)))
+    r = _ratios(documents)
     hits = E.term_hits(documents, "doc_id", E.term_list(spark, list(_LATER), ["railway"]))
     s = E.date_scores(documents, "doc_id", r, hits)
     keep = (F.col("p") >= 0.75) & (F.col("english_frac") >= 0.6) & (F.col("n_tokens") >= 20)
@@ -126,9 +134,5 @@ def date_scores(spark, documents):
     from w cross join s left join f on f.p = s.p and f.word = w.word group by 1, 2)
   select doc_id, p as period from l qualify row_number() over (partition by doc_id order by ll desc, p desc) = 1""")
 def century_guess(spark, documents):
-    p = F.when(F.col("year_est") < 1780, "18a").when(F.col("year_est") < 1820, "18b").otherwise("19a")
-    from ..functions.text import word_tokens
-
-    freq = documents.filter("year_est > 0").select(p.alias("period"), F.explode(word_tokens(F.col("text"))).alias("word"))
-    freq = freq.groupBy("period", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    return E.best_period(documents, "doc_id", freq)
+    p = F.when(F.col("year_est") <= 0, None).when(F.col("year_est") < 1780, "18a").when(F.col("year_est") < 1820, "18b").when(F.col("year_est") >= 1820, "19a")
+    return E.best_period(documents, "doc_id", E.word_frequencies(documents, by=p))

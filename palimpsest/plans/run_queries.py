@@ -199,3 +199,32 @@ def split_sentences(spark, documents):
 def sizes_and_prefixes(spark, docvalue):
     d = docvalue.filter("text is not null and id is not null")
     return d.select("rec_id", T.human_bytes(F.octet_length("text")).alias("size"), T.hex_successor(F.left("id", F.lit(2))).alias("next_prefix"))
+
+
+@query("copa")
+def alike_answers(spark, copa):
+    """Whether each item's query and right choice are alike by the stems of their words (checked in tests)."""
+    from ..operators import evals as E
+
+    gold = F.try_element_at("choices", F.col("gold") + 1)
+    return copa.select("item_id", E.answers_alike(F.col("query"), gold, 0.3).alias("alike"))
+
+
+@query("docvalue", sql="""select count(*) filter (where source is distinct from coalesce(case when batch_no < 3 then lower(trim(source)) end, source)) as changed, count(*) as total from docvalue""")
+def mapped_sources(spark, docvalue):
+    """Sources of the first batches trimmed and in lower case; others left."""
+    return S.mapped(docvalue, {"source": F.when(F.col("batch_no") < 3, F.lower(F.trim("source")))})[1]
+
+
+@query("copa", sql="""select item_id, (list_position(list_transform(choices, lambda c: length(c)), list_max(list_transform(choices, lambda c: length(c)))) - 1)::int as best from copa where len(choices) > 0""")
+def longest_choice(spark, copa):
+    from ..operators import evals as E
+
+    return copa.filter(F.size("choices") > 0).select("item_id", E.best_choice(F.transform("choices", lambda c: F.length(c))).alias("best"))
+
+
+@query("events", sql="select event_type, count(*) as n, round(max(value), 4) as top, count(distinct user_id) as users from events group by rollup(event_type)")
+def metric_suite(spark, events):
+    from ..operators import evals as E
+
+    return E.suite(events, "event_type", {"n": F.count(F.lit(1)), "top": F.round(F.max("value"), 4), "users": F.countDistinct("user_id")})

@@ -59,3 +59,8 @@ def window_counts(events: DataFrame, ts: str, key: str, size: str, slide: str |
     d = events.withWatermark(ts, late) if late else events
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
     return d.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows read) of a query's latest batches, as far as the engine keeps them."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]

@@ -367,10 +367,13 @@ def test_era_gate_reads_numbers_and_terms(spark):
     assert got == {1: (["website"], 1950, "terms"), 2: ([], 1950, "year"), 3: ([], None, None), 4: ([], None, None), 5: ([], None, None)}
 
 
-def test_running_over_a_hot_group(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 5])
+def test_running_over_a_hot_group(spark, monkeypatch, limit):
     """Sums, maxima and the rows before, against a plain loop, with one group holding most rows and null groups."""
+    from palimpsest.operators import ordinal
     from palimpsest.operators.ordinal import quantiles, running
 
+    monkeypatch.setattr(ordinal, "GROUP_LIMIT", limit)
     r = random.Random(9)
     data = [(r.choice(["hot"] * 8 + ["a", "b", None]), i, r.randrange(50), r.choice("xyz")) for i in range(600)]
     d = spark.createDataFrame(data, "g string, o int, v int, w string").repartition(7)

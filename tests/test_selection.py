@@ -169,3 +169,21 @@ def test_files(spark, tmp_path):
     pages = readers.book_pages(spark, str(tmp_path / "b.xml")).orderBy("page").collect()
     assert [(x.name, x.text) for x in pages] == [("p1", "one two\nthree"), ("p3", "four five")]
     assert readers.book_pages(spark, str(tmp_path / "b.xml"), most=1).count() == 1
+
+
+@pytest.mark.parametrize(
+    "word, want",
+    [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("happy", "happi"), ("agreed", "agre"), ("filing", "file"),
+     ("falling", "fall"), ("generalizations", "gener"), ("oscillators", "oscil"), ("adoption", "adopt"), ("cease", "ceas"), ("sky", "sky"), ("feed", "feed")],
+)
+def test_stems(word, want):
+    from palimpsest.functions.stems import stem
+
+    assert stem(word) == want
+
+
+def test_answers_alike(spark):
+    from palimpsest.operators import evals as V
+
+    d = spark.createDataFrame([("The miller was praising the kettles", "praised kettle"), ("A ship", "the mill"), (None, "x"), ("", "")], "g string, a string")
+    assert [x[0] for x in d.select(V.answers_alike(F.col("g"), F.col("a"))).collect()] == [True, False, False, False]
