@@ -102,16 +102,18 @@ class TermFinder:
     def find(self, text: str) -> set[str]:
         words = L.detector_words(text)
         hits = set()
-        for w in set(words):
+        distinct = set(words)
+        for w in distinct:
             if w not in self.memo:
                 if len(self.memo) > 500_000:
                     self.memo.clear()
                 self.memo[w] = next((f for f in base_forms(w) if f in self.single), None)
             if self.memo[w] is not None:
                 hits.add(self.memo[w])
-        if self.longer:
+        begun = self.longer.keys() & distinct
+        if begun:
             for i, w in enumerate(words):
-                for term, parts in self.longer.get(w, ()):
+                for term, parts in self.longer[w] if w in begun else ():
                     end = i + len(parts) - 1
                     if end < len(words) and words[i:end] == parts[:-1] and parts[-1] in base_forms(words[end]):
                         hits.add(term)
